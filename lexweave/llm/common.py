@@ -5,7 +5,11 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,18 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch, column: str, most: int = 8 << 20, rows: int = 2500) -> Iterator:
+    """An Arrow batch in parts of so many bytes or list items in the column (one row at least), and of so many rows."""
+    values = batch.column(column)
+    size = pc.fill_null(pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    end, at = np.cumsum(size, dtype=np.int64), 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(end, (end[at - 1] if at else 0) + most, "right"))
+        to = min(max(to, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def small_or_not(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it counts at most max_rows (narrow) rows; beyond that Spark shuffles both sides."""
     return F.broadcast(df) if len(df.limit(max_rows + 1).groupBy().count().where(F.col("count") <= max_rows).take(1)) else df

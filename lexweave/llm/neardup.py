@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import saved, small_or_not, without
+from lexweave.llm.common import saved, slices, small_or_not, without
 
 K, SURE, NEED = 64, 54, 36
 THRESHOLD = 85
@@ -89,7 +89,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n, mark (equal for equal sets), sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for b in batches for part in slices(b, "text")):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             mark = ["%016x%016x%x" % (int(_mix(s).sum()), int((_mix(s ^ _BASE) * _BASE).sum()), len(s)) for s in sets]
             kept = [s[:K].view(np.int64) for s in sets]
@@ -213,15 +213,14 @@ def link(docs: DataFrame, classes: DataFrame) -> DataFrame:
     total = wanted.agg(F.sum("n")).first()[0] or 0
     bins = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK))
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 500):
-                part = b[at : at + 500]
-                yield pd.DataFrame({"id": part["doc_id"], "shingles": [shingles(t).tobytes() for t in part["text"]]})
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for b in batches for part in slices(b, "text")):
+            made = [shingles(t).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(made, pa.binary())], ["id", "shingles"])
 
     ids = wanted.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(small_or_not(ids, 1_000_000), "doc_id", "left_semi")
-    full = texts.mapInPandas(sets, "id long, shingles binary")
+    full = texts.mapInArrow(sets, "id long, shingles binary")
     bin_ = F.when(F.col("blocks") > 1, F.xxhash64("lead", "a", "b")).otherwise(F.pmod(F.xxhash64("lead"), F.lit(bins)))
     grouped = wanted.join(full, "id").withColumn("bin", bin_).groupBy("bin")
     return grouped.applyInPandas(_links, "u long, v long")

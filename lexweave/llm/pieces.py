@@ -23,14 +23,16 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from lexweave.llm.common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 400_000
-"""Words, and piece pairs, that a worker remembers between batches."""
+CACHE = 200_000
+"""Words, and twice as many piece pairs, that a worker remembers between batches (some 100 MB)."""
 
 
 @dataclass
@@ -58,6 +60,8 @@ class Pieces:
         usual = {p.piece: i for i, p in enumerate(m.pieces) if p.type in (1, 4)}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in usual):
             raise ValueError("pieces reach across marked words")
+        if m.trainer_spec.model_type == 2 and not all(c in usual for p in usual for c in p):
+            raise ValueError("a piece holds a character that is none")
         spelled = {p.piece: i for i, p in enumerate(m.pieces) if p.type == 6}
         byte_ids = [spelled[f"<0x{b:02X}>"] for b in range(256)] if spelled else []
         names = ["" if p.type == 3 else p.piece for p in m.pieces]
@@ -95,19 +99,17 @@ def merged(chars: str, scores: dict[str, float]) -> list[str]:
 
 class Encoder:
     def __init__(self, model: Pieces):
-        self.model, self.known, self.apart = model, {}, {}
+        self.model, self.apart, self.recent, self.older = model, {}, {}, {}
         self.words = model.words()
         self.longest = max(map(len, model.ids), default=1)
-        self.whole = {p for p in model.ids if len(p) == 1}
         self.forward = self._merge if model.kind == "bpe" else self._viterbi
         self.lowest = min(model.scores.values(), default=0.0) - 10
 
     def _stands(self, piece: str) -> bool:
         """Is piece the merge result of its own characters?"""
-        if piece in self.whole:
-            return True
-        if (ok := self.apart.get(piece)) is None:
-            ok = self.apart[piece] = merged(piece, self.model.scores) == [piece]
+        key = -1 - self.model.ids[piece]
+        if (ok := self.apart.get(key)) is None:
+            ok = self.apart[key] = merged(piece, self.model.scores) == [piece]
         return ok
 
     def _merge(self, word: str, start: int, table: list[str]) -> None:
@@ -116,15 +118,19 @@ class Encoder:
         for i in range(start + 1, len(word) + 1):
             for j in range(max(0, i - longest), i):
                 t = word[j:i]
-                if t not in ids and i - j > 1:
-                    continue
+                b = ids.get(t)
+                if b is None:
+                    continue  # a character without a piece is left over below
                 if not j:
-                    if self._stands(t):
+                    if j == i - 1 or self._stands(t):
+                        break
+                    continue
+                a = ids.get(u := table[j])
+                if a is None:
+                    if j == i - 1 or self._stands(t):
                         break
                     continue
-                u = table[j]
-                key = (u, t)
-                ok = apart.get(key)
+                ok = apart.get(key := a << 32 | b)
                 if ok is None:
                     ok = apart[key] = merged(u + t, scores) == [u, t]
                 if ok:
@@ -142,14 +148,13 @@ class Encoder:
                     best = (table[j][0] + s, word[j:i])
             table.append(best)
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: Iterable[str]) -> dict[str, array]:
         """Ids of distinct words, by one walk through their trie."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        if len(self.apart) > 4 * CACHE:
+        if len(self.apart) > 2 * CACHE:
             self.apart.clear()
         ids, byte_ids, unknown, viterbi = self.model.ids, self.model.byte_ids, self.model.unknown, self.model.kind != "bpe"
         table: list = [(0.0, "")] if viterbi else [""]
+        made: dict[str, array] = {}
         last = ""
         for word in sorted(words):
             n, most = 0, min(len(word), len(last))
@@ -168,42 +173,56 @@ class Encoder:
                 elif not out or out[-1] != unknown:
                     out.append(unknown)
             out.reverse()
-            self.known[word] = out
-
-    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
-        split = [None if t is None else self.words.findall(self.model.marked(t)) for t in texts]
-        known = self.known
-        fresh = {w for s in split if s for w in s if w not in known}
-        self.learn(fresh)
-        missing = {w for s in split if s for w in s if w not in known}
-        if missing:  # forgotten as the cache was cleared
-            self.learn(missing)
-        out = []
+            made[word] = array("i", out)
+        return made
+
+    def encode(self, texts: list[str | None]) -> tuple[array, list[int | None]]:
+        """All ids in one array, and how many are each text's (None: a null text)."""
+        place: dict[str, int] = {}
+        put, find = place.setdefault, self.words.findall
+        split = [None if t is None else array("i", [put(w, len(place)) for w in find(self.model.marked(t))]) for t in texts]
+        recent, older = self.recent, self.older
+        fresh = [w for w in place if w not in recent and w not in older]
+        made = self.learn(fresh)
+        ids = [made.get(w) or recent.get(w) or older.get(w) for w in place]
+        # words that come again stay known: those of the last batches that were met once more, or are new
+        recent.update((w, x) for w, x in zip(place, ids) if w not in recent)
+        if len(recent) > CACHE // 2:
+            self.older, self.recent = recent, {}
+        values, sizes = array("i"), []
         for s in split:
-            ids: list[int] | None = None if s is None else []
-            for w in s or ():
-                ids.extend(known[w])
-            out.append(ids)
-        return out
-
-
-def decoded(ids: Iterable[int], model: Pieces) -> str:
-    names, byte_of = model.names, {i: b for b, i in enumerate(model.byte_ids)}
-    if not any(i in byte_of for i in ids):
-        text = "".join([names[i] for i in ids])
-    else:
-        out = bytearray()
-        for i in ids:
-            out += bytes((b,)) if (b := byte_of.get(i)) is not None else names[i].encode()
-        text = out.decode("utf-8", "replace")
-    text = text.replace(MARK, " ")
-    return text[1:] if model.prefix and text[:1] == " " else text
+            before = len(values)
+            for k in s or ():
+                values.extend(ids[k])
+            sizes.append(None if s is None else len(values) - before)
+        return values, sizes
+
+
+class Decoder:
+    def __init__(self, model: Pieces):
+        self.model, self.byte_of = model, {i: b for b, i in enumerate(model.byte_ids)}
+        self.high = {i for i, b in self.byte_of.items() if b > 127}
+        self.names = list(model.names)
+        for i, b in self.byte_of.items():
+            self.names[i] = chr(b) if b < 128 else ""
+
+    def decode(self, ids: Iterable[int]) -> str:
+        names = self.names
+        if self.high.isdisjoint(ids):
+            text = "".join([names[i] for i in ids])
+        else:
+            out = bytearray()
+            for i in ids:
+                out += bytes((b,)) if (b := self.byte_of.get(i)) is not None else names[i].encode()
+            text = out.decode("utf-8", "replace")
+        text = text.replace(MARK, " ")
+        return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encode(docs: DataFrame, model: Pieces | None = None, text: str = "text", ids: str = "ids", batch: int = 2000) -> DataFrame:
+def encode(docs: DataFrame, model: Pieces | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with ids (array<int>) and n_tokens in place of columns so named."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model or Pieces.load()), uuid.uuid4().hex
     keep = [c for c in docs.columns if c not in (ids, "n_tokens")]
@@ -214,16 +233,11 @@ def encode(docs: DataFrame, model: Pieces | None = None, text: str = "text", ids
             _ENCODERS[key] = Encoder(shared.value)
         encoder = _ENCODERS[key]  # a reused worker keeps what it has learnt
         for whole in batches:
-            for at in range(0, whole.num_rows, batch):
-                b = whole.slice(at, batch)
-                made = encoder.encode(b.column(text).to_pylist())
-                values, offsets, n = array("i"), array("i", [0]), []
-                for x in made:
-                    values.extend(x or ())
-                    offsets.append(len(values))
-                    n.append(None if x is None else len(x))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=pa.array([x is None for x in made]))
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists, pa.array(n, pa.int64())], [*keep, ids, "n_tokens"])
+            for b in slices(whole, text):
+                values, sizes = encoder.encode(b.column(text).to_pylist())
+                offsets = np.concatenate(([0], np.cumsum([n or 0 for n in sizes]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(values, np.int32)), mask=pa.array([n is None for n in sizes], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists, pa.array(sizes, pa.int64())], [*keep, ids, "n_tokens"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"`{ids}` array<int>", "n_tokens bigint"])
@@ -236,9 +250,10 @@ def decode(docs: DataFrame, model: Pieces | None = None, ids: str = "ids", text:
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields if f.name != text}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for b in batches:
-            texts = pa.array([None if x is None else decoded(x, model) for x in b.column(ids).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kinds], texts], [*kinds, text])
+        decoder = Decoder(shared.value)
+        for whole in batches:
+            for b in slices(whole, ids):
+                texts = pa.array([None if x is None else decoder.decode(x) for x in b.column(ids).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kinds], texts], [*kinds, text])
 
     return docs.select(*kinds).mapInArrow(run, ", ".join([*[f"`{c}` {k}" for c, k in kinds.items()], f"`{text}` string"]))
