@@ -25,6 +25,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lexweave.llm.common import slices
@@ -219,28 +220,34 @@ class Decoder:
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
+def same(texts: list[str | None], values: array, offsets: np.ndarray, decoder: Decoder) -> list[bool | None]:
+    """Does each text equal what its ids decode to?"""
+    return [None if t is None else decoder.decode(values[a:b]) == t for t, a, b in zip(texts, offsets, offsets[1:])]
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encode(docs: DataFrame, model: Pieces | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with ids (array<int>) and n_tokens in place of columns so named."""
+def encode(docs: DataFrame, model: Pieces | None = None, text: str = "text", ids: str = "ids", check: bool = False) -> DataFrame:
+    """docs with ids (array<int>) and n_tokens in place of columns so named; with check also round_trip: do the ids decode to the text?"""
     shared, key = docs.sparkSession.sparkContext.broadcast(model or Pieces.load()), uuid.uuid4().hex
-    keep = [c for c in docs.columns if c not in (ids, "n_tokens")]
+    keep = [c for c in docs.columns if c not in (ids, "n_tokens", "round_trip")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[key] = Encoder(shared.value)
-        encoder = _ENCODERS[key]  # a reused worker keeps what it has learnt
+        encoder, decoder = _ENCODERS[key], Decoder(shared.value)  # a reused worker keeps what it has learnt
         for whole in batches:
             for b in slices(whole, text):
                 values, sizes = encoder.encode(b.column(text).to_pylist())
                 offsets = np.concatenate(([0], np.cumsum([n or 0 for n in sizes]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(values, np.int32)), mask=pa.array([n is None for n in sizes], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists, pa.array(sizes, pa.int64())], [*keep, ids, "n_tokens"])
+                more = [pa.array(same(b.column(text).to_pylist(), values, offsets, decoder), pa.bool_())] if check else []
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists, pa.array(sizes, pa.int64()), *more], [*keep, ids, "n_tokens", *["round_trip"] * check])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"`{ids}` array<int>", "n_tokens bigint"])
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"`{ids}` array<int>", "n_tokens bigint", *["round_trip boolean"] * check])
     return docs.select(keep).mapInArrow(run, schema)
 
 
@@ -253,7 +260,10 @@ def decode(docs: DataFrame, model: Pieces | None = None, ids: str = "ids", text:
         decoder = Decoder(shared.value)
         for whole in batches:
             for b in slices(whole, ids):
-                texts = pa.array([None if x is None else decoder.decode(x) for x in b.column(ids).to_pylist()], pa.string())
+                lists = b.column(ids)
+                values, sizes = lists.flatten().to_numpy().tolist(), pc.list_value_length(lists).to_pylist()
+                end = np.cumsum([n or 0 for n in sizes]).tolist()
+                texts = pa.array([None if n is None else decoder.decode(values[to - n : to]) for n, to in zip(sizes, end)], pa.string())
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kinds], texts], [*kinds, text])
 
     return docs.select(*kinds).mapInArrow(run, ", ".join([*[f"`{c}` {k}" for c, k in kinds.items()], f"`{text}` string"]))

@@ -28,10 +28,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = pieces.Pieces.load()
-    docs = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    made = pieces.decode(docs, model)
-    return made.select("doc_id", "n_tokens", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "ids")
+    made = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+    return made.select("doc_id", "n_tokens", "round_trip", "ids")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
