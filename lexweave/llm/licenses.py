@@ -18,9 +18,9 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import lower_ascii, saved
+from lexweave.llm.common import fast_lower, saved
 
-#: A word before its A-Z are lower-cased.
+#: A word, whether A-Z are lower-cased or not.
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 CONTAINMENT = 0.8
@@ -61,7 +61,7 @@ def phrase_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame
     text = F.coalesce("text", F.lit(""))
     apart = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     maybe = text.rlike("(?i)" + "|".join(p.replace(" ", apart) for p in phrases))  # most texts have none
-    words = F.when(maybe, F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lower_ascii)).otherwise(F.array().cast("array<string>"))
+    words = F.when(maybe, F.regexp_extract_all(fast_lower(text), F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     own = docs.select("doc_id", F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("n_words"), words.alias("_w"))
     none = F.array().cast("array<int>")
     own = own.withColumn("_at", F.when(F.size("_w") > 0, F.array(*[_places(F.col("_w"), p) for p in phrases])).otherwise(F.array(*[none for _ in phrases]))).drop("_w")
@@ -76,9 +76,9 @@ def template_join(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contai
     sets = {name: tokens_of(t) for name, t in templates.items()}
     vocabulary = sorted({w for s in sets.values() for w in s})
     need = {name: ceil(containment * len(s) - 1e-9) for name, s in sets.items()}
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "block"))
+    lines = docs.select("doc_id", F.posexplode(F.split(fast_lower(F.coalesce("text", F.lit(""))), "\n")).alias("line", "block"))
     # a line needs words of the vocabulary, so the first pass over texts keeps its distinct words of it only
-    held = F.array_intersect(F.transform(F.regexp_extract_all("block", F.lit(TOKEN), F.lit(0)), lower_ascii), F.array(*map(F.lit, vocabulary)))
+    held = F.array_intersect(F.regexp_extract_all("block", F.lit(TOKEN), F.lit(0)), F.array(*map(F.lit, vocabulary)))
     held = saved(lines.select("doc_id", "line", held.alias("words")).where(F.size("words") > 0), "licence-words")
     counts = {r.word: r.n for r in held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = {w: (counts.get(w, 0), w) for w in vocabulary}
