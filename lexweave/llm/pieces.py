@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import re
 import uuid
-from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +103,11 @@ class Encoder:
         self.model, self.apart, self.recent, self.older = model, {}, {}, {}
         self.words = model.words()
         self.longest = max(map(len, model.ids), default=1)
+        ends: dict[str, set[int]] = {}
+        for p in model.ids:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in ends.items()}
         self.forward = self._merge if model.kind == "bpe" else self._viterbi
         self.lowest = min(model.scores.values(), default=0.0) - 10
 
@@ -115,27 +120,26 @@ class Encoder:
 
     def _merge(self, word: str, start: int, table: list[str]) -> None:
         """table[i]: last piece of the merge result of word[:i]; entries after start are filled in."""
-        ids, apart, scores, longest = self.model.ids, self.apart, self.model.scores, self.longest
+        find, known, scores, lengths = self.model.ids.get, self.apart.get, self.model.scores, self.lengths
         for i in range(start + 1, len(word) + 1):
-            for j in range(max(0, i - longest), i):
-                t = word[j:i]
-                b = ids.get(t)
+            for n in lengths.get(word[i - 2 : i], ()) if i > 1 else ():
+                if n > i:
+                    continue
+                t = word[i - n : i]
+                b = find(t)
                 if b is None:
-                    continue  # a character without a piece is left over below
-                if not j:
-                    if j == i - 1 or self._stands(t):
-                        break
                     continue
-                a = ids.get(u := table[j])
-                if a is None:
-                    if j == i - 1 or self._stands(t):
+                if n == i or (a := find(u := table[i - n])) is None:
+                    if self._stands(t):
                         break
                     continue
-                ok = apart.get(key := a << 32 | b)
+                ok = known(key := a << 32 | b)
                 if ok is None:
-                    ok = apart[key] = merged(u + t, scores) == [u, t]
+                    ok = self.apart[key] = merged(u + t, scores) == [u, t]
                 if ok:
                     break
+            else:  # what is left over is the last character by itself
+                t = word[i - 1]
             table.append(t)
 
     def _viterbi(self, word: str, start: int, table: list[tuple[float, str]]) -> None:
@@ -149,13 +153,13 @@ class Encoder:
                     best = (table[j][0] + s, word[j:i])
             table.append(best)
 
-    def learn(self, words: Iterable[str]) -> dict[str, array]:
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct words, by one walk through their trie."""
         if len(self.apart) > 2 * CACHE:
             self.apart.clear()
         ids, byte_ids, unknown, viterbi = self.model.ids, self.model.byte_ids, self.model.unknown, self.model.kind != "bpe"
         table: list = [(0.0, "")] if viterbi else [""]
-        made: dict[str, array] = {}
+        made: dict[str, tuple[int, ...]] = {}
         last = ""
         for word in sorted(words):
             n, most = 0, min(len(word), len(last))
@@ -174,29 +178,31 @@ class Encoder:
                 elif not out or out[-1] != unknown:
                     out.append(unknown)
             out.reverse()
-            made[word] = array("i", out)
+            made[word] = tuple(out)
         return made
 
-    def encode(self, texts: list[str | None]) -> tuple[array, list[int | None]]:
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, list[int | None]]:
         """All ids in one array, and how many are each text's (None: a null text)."""
-        place: dict[str, int] = {}
-        put, find = place.setdefault, self.words.findall
-        split = [None if t is None else array("i", [put(w, len(place)) for w in find(self.model.marked(t))]) for t in texts]
-        recent, older = self.recent, self.older
-        fresh = [w for w in place if w not in recent and w not in older]
-        made = self.learn(fresh)
-        ids = [made.get(w) or recent.get(w) or older.get(w) for w in place]
-        # words that come again stay known: those of the last batches that were met once more, or are new
-        recent.update((w, x) for w, x in zip(place, ids) if w not in recent)
+        find, recent, older = self.words.findall, self.recent, self.older
+        split = [() if t is None else find(self.model.marked(t)) for t in texts]
+        words = set().union(*split)
+        now = self.learn(w for w in words if w not in recent and w not in older)
+        now.update((w, recent.get(w) or older[w]) for w in words if w not in now)
+        # words that come again stay known: those of the last slices
+        recent.update(now)
         if len(recent) > CACHE // 2:
             self.older, self.recent = recent, {}
-        values, sizes = array("i"), []
-        for s in split:
-            before = len(values)
-            for k in s or ():
-                values.extend(ids[k])
-            sizes.append(None if s is None else len(values) - before)
-        return values, sizes
+        number = dict(zip(now, range(len(now))))
+        length = np.fromiter(map(len, now.values()), np.int64, len(now))
+        flat = np.fromiter(chain.from_iterable(now.values()), np.int32, int(length.sum()))
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+        n, first = length[at], (np.cumsum(length) - length)[at]
+        done = np.concatenate(([0], np.cumsum(n)))
+        values = flat[np.repeat(first - done[:-1], n) + np.arange(done[-1])]
+        end = done[np.cumsum(count)]
+        sizes = np.diff(end, prepend=0).tolist()
+        return values, [None if t is None else k for t, k in zip(texts, sizes)]
 
 
 class Decoder:
@@ -210,7 +216,7 @@ class Decoder:
     def decode(self, ids: Iterable[int]) -> str:
         names = self.names
         if self.high.isdisjoint(ids):
-            text = "".join([names[i] for i in ids])
+            text = "".join(map(names.__getitem__, ids))
         else:
             out = bytearray()
             for i in ids:
@@ -220,9 +226,10 @@ class Decoder:
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
-def same(texts: list[str | None], values: array, offsets: np.ndarray, decoder: Decoder) -> list[bool | None]:
+def same(texts: list[str | None], values: np.ndarray, offsets: np.ndarray, decoder: Decoder) -> list[bool | None]:
     """Does each text equal what its ids decode to?"""
-    return [None if t is None else decoder.decode(values[a:b]) == t for t, a, b in zip(texts, offsets, offsets[1:])]
+    ids = values.tolist()
+    return [None if t is None else decoder.decode(ids[a:b]) == t for t, a, b in zip(texts, offsets, offsets[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -239,11 +246,12 @@ def encode(docs: DataFrame, model: Pieces | None = None, text: str = "text", ids
             _ENCODERS[key] = Encoder(shared.value)
         encoder, decoder = _ENCODERS[key], Decoder(shared.value)  # a reused worker keeps what it has learnt
         for whole in batches:
-            for b in slices(whole, text):
-                values, sizes = encoder.encode(b.column(text).to_pylist())
+            for b in slices(whole, text, 6 << 20):
+                texts = b.column(text).to_pylist()
+                values, sizes = encoder.encode(texts)
                 offsets = np.concatenate(([0], np.cumsum([n or 0 for n in sizes]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(values, np.int32)), mask=pa.array([n is None for n in sizes], pa.bool_()))
-                more = [pa.array(same(b.column(text).to_pylist(), values, offsets, decoder), pa.bool_())] if check else []
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([n is None for n in sizes], pa.bool_()))
+                more = [pa.array(same(texts, values, offsets, decoder), pa.bool_())] if check else []
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists, pa.array(sizes, pa.int64()), *more], [*keep, ids, "n_tokens", *["round_trip"] * check])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
