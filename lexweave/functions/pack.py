@@ -1,18 +1,26 @@
-"""The legal pack as data: structural units, markers, definitions, references, gate terms, override scopes.
+"""The legal pack as data: structural units, markers, definitions, references, citations, gate terms, override scopes.
 
-A pattern is written with plain spaces; spaced() turns them into white-space runs. Patterns ignore case unless said
-otherwise, and know no look-behind, so Java and Python read them alike.
+Patterns are stored without flags: java() and python() add those that make both engines read them alike (Unicode classes
+and, where ignore_case holds, case folding beyond ASCII).
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 CLOSURE = frozenset({"exception_of", "supersedes", "amends", "conditioned_on", "defines"})
 
 
-def spaced(pattern: str) -> str:
-    return pattern.replace(" ", r"\s+")
+def java(pattern: str, ignore_case: bool = True) -> str:
+    return ("(?iuU)" if ignore_case else "(?U)") + pattern
+
+
+def python(pattern: str, ignore_case: bool = True) -> re.Pattern:
+    return re.compile(pattern, re.IGNORECASE if ignore_case else 0)
 
 
 @dataclass(frozen=True)
@@ -28,68 +36,107 @@ class Marker:
     def confidence(self) -> float:
         return 1.0 if self.strong else 0.6
 
+    @property
+    def java(self) -> str:
+        return java(self.pattern)
 
-#: name, pattern at a node's start, edge type; the first that fits counts
+
+# Results depend on exactly these patterns and words.
+
+#: name, pattern at a node's start, ignore case, edge type; the first that fits counts
 UNITS = (
-    ("proviso", spaced(r"(?i)^\s*provided (?:(?:further|also) )?that\b"), "exception_of"),
-    ("explanation", r"(?i)^\s*explanation\s*[-—–.:]*\s*[ivx0-9]*\s*[-—–.:]", "defines"),
-    ("illustration", r"(?i)^\s*illustrations?\s*[-—–.:]", "exemplifies"),
-    ("exception", r"(?i)^\s*exceptions?\s*[ivx0-9]*\s*[-—–.:]", "exception_of"),
-    ("sub_section", r"^\s*\(\d+\)\s+", "part_of"),
-    ("clause", r"^\s*\([a-z]{1,2}\)\s+", "part_of"),
-    ("schedule", r"(?i)^\s*(?:the\s+)?(?:first|second|third|fourth|fifth|[ivx]+)?\s*schedule\b", "part_of"),
+    ("proviso", r"^\s*provided\s+(?:further\s+|also\s+)?that\b", True, "exception_of"),
+    ("explanation", r"^\s*Explanation\s*[\-—–.:]*\s*(?:[IVX0-9]+)?\s*[\-—–.:]", True, "defines"),
+    ("illustration", r"^\s*Illustrations?\s*[\-—–.:]", True, "exemplifies"),
+    ("exception", r"^\s*Exceptions?\s*(?:[IVX0-9]+)?\s*[\-—–.:]", True, "exception_of"),
+    ("sub_section", r"^\s*\((\d+)\)\s+", False, "part_of"),
+    ("clause", r"^\s*\(([a-z]{1,2})\)\s+", False, "part_of"),
+    ("schedule", r"^\s*(?:THE\s+)?(?:FIRST|SECOND|THIRD|FOURTH|FIFTH|[IVX]+)?\s*SCHEDULE\b", True, "part_of"),
 )
 
-_VERBS = "apply|be|affect|extend|authori[sz]|render|entitle|prevent|operate"
-_LIST = r"(?:sub-?\s*sections?\s*(?:\(\s*\d{1,3}[a-z]?\s*\)[\s,]*(?:and|or|&|to)?\s*)+|sections?\s*\.?\s*\d{1,9}[a-z]{0,2}(?:\s*(?:,|and|&|or)\s*\d{1,9}[a-z]{0,2})*)"
-MARKERS = tuple(
-    Marker(name, "(?i)" + spaced(pattern), *rest)
-    for name, pattern, *rest in (
-        ("non_obstante", r"notwithstanding anything (?:contained |to the contrary )*(?:in|under)\b", "supersedes", True, "referenced"),
-        ("subject_to", r"subject to the (?:provisions of|other provisions)", "conditioned_on", True, "referenced"),
-        ("save_as_provided", r"(?:save|except) as (?:otherwise |expressly )?provided", "exception_of", True, "referenced"),
-        ("nothing_in_referenced_shall_apply", rf"nothing (?:contained )?in\b(?!\s+this\b)[^;]{{0,60}}?(?= shall (?:{_VERBS})\w*\b)", "exception_of", True, "referenced", "within"),
-        ("nothing_shall_apply", r"nothing (?:contained )?in this (?:section|act|chapter|sub-section|rule) shall (?:apply|extend|affect|be deemed)", "exception_of"),
-        ("unless", r"\bunless (?:the context|otherwise (?:provided|required|expressly))", "conditioned_on", False),
-        ("deeming", r"shall be deemed (?:to (?:be|have)|not to be)", "defines"),
-        ("shall_not_apply_to", r"shall not apply to\b", "exception_of"),
-        ("for_the_purposes_of", r"for the purposes? of this (?:section|act|chapter|clause|sub-section)", "defines", False, "following"),
-        ("for_the_purposes_of_referenced", rf"for the purposes? of (?=(?:(?:clause|item|paragraph|sub-?\s*clause)\s*\([^)]{{1,6}}\)\s*of )?{_LIST}(?:\s*and this \w+)?\s*[-,–—])", "defines", True, "referenced"),
-        ("substitution", r"for the (?:words|figures|expression|brackets)[^,]{0,120},\s*the (?:words|figures|expression)[^,]{0,120} shall be substituted", "amends", True, "referenced", "before"),
-        ("insertion", r"shall be inserted\b", "amends", True, "referenced", "before"),
-        ("omission", r"shall be omitted\b", "amends", True, "referenced", "before"),
-        ("repeal", r"\b(?:is|are|shall stand) hereby repealed\b|\brepeal and savings?\b", "supersedes", True, "referenced", "before"),
-        ("overruled", r"\b(?:is|are|stands?|hereby) overruled\b|\bwe overrule\b|\bno longer good law\b", "supersedes", True, "referenced"),
-        ("per_incuriam", r"\bper incuriam\b", "supersedes", True, "referenced"),
-        ("distinguished", r"\b(?:is|are) distinguishable\b|\bwe distinguish\b|\bturned on its own facts\b", "exception_of", False, "referenced"),
-        ("affirmed", r"\b(?:affirmed|upheld) (?:in|by)\b", "supports", False, "referenced"),
-        ("notwithstanding_clause", r"notwithstanding (?:the foregoing|anything to the contrary)", "supersedes"),
-        ("except_that", r"\bexcept (?:that|as set forth|to the extent)\b", "exception_of"),
-        ("provided_however", r"provided,? however,? that", "exception_of"),
-        ("survival", r"shall survive (?:any )?(?:termination|expiry|expiration)", "conditioned_on"),
-        ("liability_cap", r"(?:aggregate liability|in no event shall)[^.]{0,200}?(?:exceed|be liable)", "conditioned_on"),
-    )
-)
+MARKERS = (
+    Marker("non_obstante", r"notwithstanding\s+anything\s+(?:contained\s+|to\s+the\s+contrary\s+)*(?:in|under)\b", "supersedes", True, "referenced"),
+    Marker("subject_to", r"subject\s+to\s+the\s+(?:provisions\s+of|other\s+provisions)", "conditioned_on", True, "referenced"),
+    Marker("save_as_provided", r"(?:save|except)\s+as\s+(?:otherwise\s+)?(?:provided|expressly\s+provided)", "exception_of", True, "referenced"),
+    Marker("nothing_in_referenced_shall_apply", r"nothing\s+(?:contained\s+)?in\b(?!\s+this\b)[^;]{0,60}?(?=\s+shall\s+(?:apply|be|affect|extend|authoris|authoriz|render|entitle|prevent|operate)\w*\b)", "exception_of", True, "referenced", "within"),
+    Marker("nothing_shall_apply", r"nothing\s+(?:contained\s+)?in\s+this\s+(?:section|Act|Chapter|sub-section|rule)\s+shall\s+(?:apply|extend|affect|be\s+deemed)", "exception_of"),
+    Marker("unless", r"\bunless\s+(?:the\s+context|otherwise\s+(?:provided|required|expressly))", "conditioned_on", False),
+    Marker("deeming", r"shall\s+be\s+deemed\s+(?:to\s+(?:be|have)|not\s+to\s+be)", "defines"),
+    Marker("shall_not_apply_to", r"shall\s+not\s+apply\s+to\b", "exception_of"),
+    Marker("for_the_purposes_of", r"for\s+the\s+purposes?\s+of\s+this\s+(?:section|Act|Chapter|clause|sub-section)", "defines", False, "following"),
+    Marker(
+        "for_the_purposes_of_referenced",
+        r"for\s+the\s+purposes?\s+of\s+"
+        r"(?=(?:(?:clause|item|paragraph|sub-?\s*clause)\s*\([^)]{1,6}\)\s*of\s+)?"
+        r"(?:sub-?\s*sections?\s*(?:\(\s*\d{1,3}[A-Za-z]?\s*\)\s*(?:,\s*|(?:,\s*)?(?:and|or|&|to)\s*)?)+"
+        r"|sections?\s*\.?\s*\d{1,4}[A-Z]{0,2}(?:\s*(?:,|and|&|or)\s*\d{1,4}[A-Z]{0,2})*)"
+        r"(?:\s*and\s+this\s+\w+)?\s*[,–—-])",
+        "defines", True, "referenced", "after",
+    ),
+    Marker("substitution", r"for\s+the\s+(?:words|figures|expression|brackets)[^,]{0,120},\s*the\s+(?:words|figures|expression)[^,]{0,120}\s+shall\s+be\s+substituted", "amends", True, "referenced", "before"),
+    Marker("insertion", r"shall\s+be\s+inserted\b", "amends", True, "referenced", "before"),
+    Marker("omission", r"shall\s+be\s+omitted\b", "amends", True, "referenced", "before"),
+    Marker("repeal", r"\b(?:is|are|shall\s+stand)\s+hereby\s+repealed\b|\bRepeal\s+and\s+[Ss]avings?\b", "supersedes", True, "referenced", "before"),
+    Marker("overruled", r"\b(?:is|are|stands?|hereby)\s+overruled\b|\bwe\s+overrule\b|\bno\s+longer\s+good\s+law\b", "supersedes", True, "referenced"),
+    Marker("per_incuriam", r"\bper\s+incuriam\b", "supersedes", True, "referenced"),
+    Marker("distinguished", r"\b(?:is|are)\s+distinguishable\b|\bwe\s+distinguish\b|\bturned\s+on\s+its\s+own\s+facts\b", "exception_of", False, "referenced"),
+    Marker("affirmed", r"\b(?:affirmed|upheld)\s+(?:in|by)\b", "supports", False, "referenced"),
+    Marker("notwithstanding_clause", r"notwithstanding\s+(?:the\s+foregoing|anything\s+to\s+the\s+contrary)", "supersedes"),
+    Marker("except_that", r"\bexcept\s+(?:that|as\s+set\s+forth|to\s+the\s+extent)\b", "exception_of"),
+    Marker("provided_however", r"provided,?\s+however,?\s+that", "exception_of"),
+    Marker("survival", r"shall\s+survive\s+(?:any\s+)?(?:termination|expiry|expiration)", "conditioned_on"),
+    Marker("liability_cap", r"(?:aggregate\s+liability|in\s+no\s+event\s+shall)[^.]{0,200}?(?:exceed|be\s+liable)", "conditioned_on"),
+)
 
-SECTION_REF = r"(?i)\b(?:sections?|secs?|ss)\s*\.?\s*(\d{1,9}[a-z]{0,2}(?:\s*(?:,|and|&|or)\s*\d{1,9}[a-z]{0,2})*)"
-SUBSECTION_REF = r"(?i)\bsub-?\s*sections?\s*((?:\(\s*\d{1,3}[a-z]?\s*\)[\s,]*(?:and|or|&|to)?\s*)+)(?:of\s+section\s*\.?\s*(\d{1,9}[a-z]{0,2}))?"
-FOREIGN_REF = r"^\s*(?i:of\s+(?:the\s+)?)(?:(?i:said|principal|repealed)|[A-Z][\w'’-]*)(?:[\s,][\w'’.,()\[\]-]+){0,10}?\s*(?i:act|code|ordinance|constitution|regulations?|rules)\b"
+SECTION_REF = r"\b(?:sections?|secs?|ss)\s*\.?\s*(\d{1,4}[A-Z]{0,2}(?:\s*(?:,|and|&|or)\s*\d{1,4}[A-Z]{0,2})*)"
+SUBSECTION_REF = r"\bsub-?\s*sections?\s*((?:\(\s*\d{1,3}[A-Za-z]?\s*\)\s*(?:,\s*|(?:,\s*)?(?:and|or|&|to)\s*)?)+)(?:\s*of\s+section\s*\.?\s*(\d{1,4}[A-Z]{0,2}))?"
+FOREIGN_REF = r"\A\s*of\s+(?:the\s+)?(?:said|principal|repealed|[A-Z][\w'’-]*)(?:[\s,][\w'’.,()\[\]-]+){0,10}?\s*(?:Act|Code|Ordinance|Constitution|Regulations?|Rules)\b"
 BREAK = r"[,;:.]"
 
-_OPEN, _SHUT = '["“«]', '["”»]'
-_SURFACE = '([^"“”«»]{2,80})'
-#: kind, pattern with the surface as its group
+#: kind, pattern with the surface as its group; the first that fits counts
 DEFINITIONS = (
-    ("means", rf"(?i){_OPEN}{_SURFACE}{_SHUT}\s+means\b"),
-    ("includes", rf"(?i){_OPEN}{_SURFACE}{_SHUT}\s+includes\b"),
-    (None, rf"(?i){_OPEN}{_SURFACE}{_SHUT}\s+shall\s+(?:mean|have\s+the\s+meaning)"),
-    (None, rf"(?i)\(\s*(?:herein(?:after)?\s+(?:referred\s+to\s+as|called)|the)\s*{_OPEN}{_SURFACE}{_SHUT}\s*\)"),
+    ("means", r'["«]([^"»]{2,80})["»]\s+means\b'),
+    ("includes", r'["«]([^"»]{2,80})["»]\s+includes\b'),
+    (None, r'["«]([^"»]{2,80})["»]\s+shall\s+(?:mean|have\s+the\s+meaning)'),
+    (None, r'\(\s*(?:herein(?:after)?\s+(?:referred\s+to\s+as|called)|the)\s*["«]([^"»]{2,80})["»]\s*\)'),
+    ("means", r'(?m)^\s*\([a-z]\)\s+["“]([^"”]{2,80})["”]\s+means'),
 )
-GATE_TERMS = tuple("provided|notwithstanding|subject to|except|unless|shall not apply|deemed|save as|nothing in|repeal|substituted|inserted|omitted|overruled|distinguish|survive|in no event|for the purposes of|means|includes".split("|"))
-#: scope and pattern at the start of what follows an overriding marker; the first that fits counts
+
+#: pattern, ignore case
+CITATIONS = (
+    (r"\(?\b(19|20)\d{2}\)?\s*\(?\d{0,2}\)?\s*SCC\s+\d+", True),
+    (r"\bAIR\s+(?:19|20)\d{2}\s+SC\s+\d+", True),
+    (r"\b(19|20)\d{2}\s+INSC\s+\d+", True),
+    (r"\b(19|20)\d{2}\s+SCC\s+OnLine\s+\w+\s+\d+", True),
+    (r"\bSCR\s+\d+|\bCriLJ\s+\d+|\bITR\s+\d+", True),
+    (r"\b(?:[Ss]ection|[Ss]ec\.?|§)\s*(\d+[A-Z]{0,2})(?:\s*\(\s*\d+\s*\))?(?:\s*\(\s*[a-z]{1,2}\s*\))?", False),
+    (r"\b[Aa]rticle\s+(\d+[A-Z]{0,2})\b", False),
+    (r"\b(?:the\s+)?([A-Z][A-Za-z\s,]{4,60})\s+Act,?\s+((?:19|20)\d{2})\b", False),
+    (r"\b[Rr]ule\s+(\d+[A-Z]?)\b", False),
+    (r"\b[Oo]rder\s+([IVXL]+),?\s+[Rr]ule\s+(\d+)\b", False),
+    (r"\b[Cc]lause\s+(\d+(?:\.\d+)*)\b", False),
+    (r"\b(?:Schedule|Annexure|Exhibit|Appendix)\s+([A-Z0-9]{1,3})\b", False),
+)
+
+GATE_TERMS = (
+    "provided", "notwithstanding", "subject to", "except", "unless",
+    "shall not apply", "deemed", "save as", "nothing in", "repeal",
+    "substituted", "inserted", "omitted", "overruled", "distinguish",
+    "survive", "in no event", "for the purposes of", "means", "includes",
+)
+
+#: scope, pattern at the start of what follows an overriding marker, ignore case; the first that fits counts
 SCOPES = (
-    ("external", r"(?i)^\s*any\s+other\s+(?:law|enactment|act)\b"),
-    ("external", r"^\s*(?:the\s+)?[A-Z][A-Za-z\s,()]{4,60}\s+Act,?\s+(?:19|20)\d{2}\b"),
-    ("section", r"(?i)^\s*(?:the\s+provisions\s+of\s+)?(?:sub-)?section\s+(\d+[a-z]*)"),
-    ("document", r"(?i)^\s*(?:the\s+(?:other\s+)?provisions\s+of\s+)?this\s+(?:act|chapter|part|agreement)\b"),
+    ("external", r"\s*any\s+other\s+(?:law|enactment|Act)\b", True),
+    ("external", r"\s*(?:the\s+)?[A-Z][A-Za-z\s,()]{4,60}\s+Act,?\s+(?:19|20)\d{2}\b", False),
+    ("section", r"\s*(?:the\s+provisions\s+of\s+)?(?:sub-)?section\s+\d+[A-Za-z]*", True),
+    ("document", r"\s*(?:the\s+(?:other\s+)?provisions\s+of\s+)?this\s+(?:Act|Chapter|Part|Agreement)\b", True),
 )
+
+# End of the fixed values.
+
+
+def starts(text: Column | str, pattern: str, ignore_case: bool = True) -> Column:
+    """Does text start with a match?"""
+    text = F.col(text) if isinstance(text, str) else text
+    return text.rlike(java(rf"\A(?:{pattern})", ignore_case))

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOPWORDS = tuple("a an the and or but if of in on at to for with by from as is are was were be been being this that these those it its shall may must not no any such other under over per than then there here which who whom whose what when where how".split())
-KEY_STOPWORDS = tuple("the and for that this with shall any such other under section act sub not been are was were has have had its his her they them their which who whom".split())
+# Results depend on exactly these words.
+STOPWORDS = (
+    "a", "an", "the", "and", "or", "but", "if", "of", "in", "on", "at", "to", "for", "with", "by", "from", "as", "is", "are", "was", "were", "be", "been", "being", "this", "that", "these", "those", "it", "its",
+    "shall", "may", "must", "not", "no", "any", "such", "other", "under", "over", "per", "than", "then", "there", "here", "which", "who", "whom", "whose", "what", "when", "where", "how",
+)
+KEY_STOPWORDS = (
+    "the", "and", "for", "that", "this", "with", "shall", "any", "such", "other", "under", "section", "act", "sub", "not", "been", "are", "was", "were", "has", "have", "had", "its", "his", "her", "they", "them", "their", "which", "who", "whom",
+)
+# End of the fixed values.
 
 
 def tokens(text: Column) -> Column:

@@ -14,9 +14,9 @@ def claims(nodes: DataFrame) -> DataFrame:
     hits = marker_hits(nodes, tuple(m for m in pack.MARKERS if m.edge == "supersedes"))
     rest = F.expr("substring(raw, instr(raw, span) + length(span))")
     scope = F.lit(None).cast("string")
-    for name, pattern in reversed(pack.SCOPES):
-        scope = F.when(rest.rlike(pattern), name).otherwise(scope)
-    number = next(p for n, p in pack.SCOPES if n == "section")
+    for name, pattern, ignore_case in reversed(pack.SCOPES):
+        scope = F.when(pack.starts(rest, pattern, ignore_case), name).otherwise(scope)
+    number = pack.java(r"\A" + next(p for n, p, _ in pack.SCOPES if n == "section").replace(r"\d+[A-Za-z]*", r"(\d+[A-Za-z]*)"))
     own = hits.withColumns({"scope": scope, "target": F.upper(F.regexp_extract(rest, number, 1))}).where("scope is not null")
     return own.select("doc_id", "node_id", F.col("section").cast("string").alias("section"), "marker", "scope", F.when(F.col("scope") == "section", F.col("target")).alias("target"))
 

@@ -47,8 +47,9 @@ def headings(nodes: DataFrame) -> DataFrame:
 def unit_edges(nodes: DataFrame) -> DataFrame:
     """An edge for the first structural unit that fits a node: to the previous sibling, else the parent."""
     name, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for unit, pattern, edge in reversed(pack.UNITS):
-        name, kind = F.when(F.col("raw").rlike(pattern), unit).otherwise(name), F.when(F.col("raw").rlike(pattern), edge).otherwise(kind)
+    for unit, pattern, ignore_case, edge in reversed(pack.UNITS):
+        fits = F.col("raw").rlike(pack.java(pattern, ignore_case))
+        name, kind = F.when(fits, unit).otherwise(name), F.when(fits, edge).otherwise(kind)
     own = nodes.where("kind = 'proposition'").withColumns({"unit": name, "type": kind, "dst": F.coalesce("prev_id", "parent_id")})
     own = own.where("unit is not null and dst is not null")
     edge_id = F.concat_ws(":", F.lit("struct"), "unit", "node_id", "dst")
@@ -58,7 +59,7 @@ def unit_edges(nodes: DataFrame) -> DataFrame:
 def marker_hits(nodes: DataFrame, markers=pack.MARKERS) -> DataFrame:
     """nodes with a row for each marker that fires: marker, type, target, side, confidence, span."""
     hits = [
-        F.struct(F.lit(m.name).alias("marker"), F.lit(m.edge).alias("type"), F.lit(m.target).alias("target"), F.lit(m.side).alias("side"), F.lit(m.confidence).alias("confidence"), F.regexp_extract("raw", m.pattern, 0).alias("span"))
+        F.struct(F.lit(m.name).alias("marker"), F.lit(m.edge).alias("type"), F.lit(m.target).alias("target"), F.lit(m.side).alias("side"), F.lit(m.confidence).alias("confidence"), F.regexp_extract("raw", m.java, 0).alias("span"))
         for m in markers
     ]
     own = nodes.where(F.col("kind") == "proposition")
@@ -79,36 +80,48 @@ def _word_of(pattern: str) -> str:
     return "|".join(w for k, w in words.items() if k in flat)
 
 
+_SECTION, _SUBSECTION, _FOREIGN, _BREAK = (pack.python(p) for p in (pack.SECTION_REF, pack.SUBSECTION_REF, pack.FOREIGN_REF, pack.BREAK))
+
+
+def _spelled_out(listed: str) -> list[str]:
+    """Numbers of a list like "(1), (2A) and (4) to (6)"; only ranges of plain numbers have members between."""
+    out: list[str] = []
+    for joint, number in re.findall(r"(?i)(\bto\b)?\s*\(\s*(\d{1,3}[a-z]?)\s*\)", listed):
+        if joint and out and out[-1].isdigit() and number.isdigit():
+            out += map(str, range(int(out[-1]) + 1, int(number)))
+        out.append(number)
+    return out
+
+
 def references(text: str, start: int, end: int, side: str) -> list[tuple[str, str | None]]:
-    """(kind:number, section) cited next to a marker at text[start:end], in order: up to the first clause break between citations, without those of another act."""
+    """(kind:number, section) that a marker at text[start:end] cites, sections first, then sub-sections.
+
+    After a marker, citations of a kind count up to the first clause break between two of them; before it, only the last
+    of each kind does. Those of another act name nothing here.
+    """
     window = {"after": text[end:], "within": text[start:end], "before": text[:start]}[side]
-    found: list[tuple[int, int, list[tuple[str, str | None]]]] = []
-    for m in re.finditer(pack.SECTION_REF, window):
-        if window[: m.start()].lower().rstrip().endswith(("sub-", "sub")):
-            continue
-        found.append((m.start(), m.end(), [("section:" + x.upper(), None) for x in re.findall(r"\d{1,9}[A-Za-z]{0,2}", m[1])]))
-    for m in re.finditer(pack.SUBSECTION_REF, window):
-        numbers: list[str] = []
-        for joint, x in re.findall(r"(to)?\s*\(\s*(\d{1,3}[A-Za-z]?)\s*\)", m[1]):
-            numbers += [str(i) for i in range(int(numbers[-1]) + 1, int(x))] if joint and numbers and numbers[-1].isdigit() and x.isdigit() else []
-            numbers.append(x)
-        found.append((m.start(), m.end(), [("sub:" + x, m[2] and m[2].upper()) for x in numbers]))
-    found.sort(reverse=side == "before")
-    out, at = [], 0 if side != "before" else len(window)
-    for a, b, cited in found:
-        gap = window[at:a] if side != "before" else window[b:at]
-        if side != "within" and re.search(pack.BREAK, gap):
-            break
-        if not re.match(pack.FOREIGN_REF, window[b : b + 160]):
-            out += cited
-        at = max(at, b) if side != "before" else a
-    return list(dict.fromkeys(out if side != "before" else out[::-1]))
+    out: list[tuple[str, str | None]] = []
+    for pattern in (_SECTION, _SUBSECTION):
+        found, at = [], 0
+        for m in pattern.finditer(window):
+            if side == "after" and _BREAK.search(window, at, m.start()):
+                break
+            found.append(m)
+            at = m.end()
+        for m in found[-1:] if side == "before" else found:
+            if _FOREIGN.match(window[m.end() : m.end() + 160]):
+                continue
+            if pattern is _SECTION:
+                out += [("section:" + x.upper(), None) for x in re.findall(r"\d{1,4}[A-Za-z]{0,2}", m[1])]
+            else:
+                out += [("sub:" + x.upper(), m[2] and m[2].upper()) for x in _spelled_out(m[1])]
+    return list(dict.fromkeys(out))
 
 
 def marker_edges(nodes: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Edges of all markers. nodes need parent_id, prev_id, next_id and section_id (the enclosing heading)."""
     hits = marker_hits(nodes)
-    near = hits.where("target != 'referenced'").withColumn("to", F.when(F.col("target") == "following", F.coalesce("next_id", "parent_id")).otherwise(F.coalesce("prev_id", "parent_id")))
+    near = hits.where("target != 'referenced'").withColumn("to", F.when(F.col("target") == "following", F.col("next_id")).otherwise(F.coalesce("prev_id", "parent_id")))
 
     @F.pandas_udf("array<struct<ref:string,section:string>>")
     def cited(raw: pd.Series, span: pd.Series, side: pd.Series) -> pd.Series:
@@ -118,7 +131,7 @@ def marker_edges(nodes: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     far = hits.where("target = 'referenced'").withColumn("cite", F.explode(cited("raw", "span", "side")))
     far = far.withColumns({"number": F.regexp_extract("cite.ref", ":(.*)", 1), "sub": F.col("cite.ref").startswith("sub:")})
     whole = far.where("not sub").join(heads, ["doc_id", "number"]).withColumn("to", F.col("heading_id"))
-    enumerated = nodes.withColumn("number", F.regexp_extract("raw", r"^\s*\((\d{1,3}[A-Za-z]?)\)", 1)).where("number != '' and section_id is not null")
+    enumerated = nodes.withColumn("number", F.upper(F.regexp_extract("raw", r"^\s*\(\s*(\d{1,3}[A-Za-z]?)\s*\)", 1))).where("number != '' and section_id is not null")
     subs = enumerated.groupBy("doc_id", F.col("section_id").alias("in_id"), "number").agg(F.min_by("node_id", "seq").alias("sub_id"))
     named = heads.select("doc_id", F.col("number").alias("of"), F.col("heading_id").alias("of_id"))
     part = far.where("sub").withColumn("of", F.col("cite.section")).join(named, ["doc_id", "of"], "left").withColumn("in_id", F.when(F.col("of").isNull(), F.col("section_id")).otherwise(F.col("of_id")))

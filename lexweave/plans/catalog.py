@@ -247,18 +247,22 @@ def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.glossary(lexicon.terms(statute.nodes(spark, sf_dir)))
 
 
-S_CLAIMS = "c AS (SELECT doc_id, node_id, CAST(section AS VARCHAR) AS section, CASE WHEN ok % 11 = 0 THEN 'document' ELSE 'section' END AS scope, CASE WHEN ok % 11 <> 0 THEN CAST(k AS VARCHAR) END AS target FROM s WHERE ln % 4 = 1)"
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statute.nodes(spark, sf_dir).withColumn("section", F.col("section") % 1000 + 1)
+
+
+S_CLAIMS = "c AS (SELECT doc_id, node_id, CAST(section % 1000 + 1 AS VARCHAR) AS section, CASE WHEN ok % 11 = 0 THEN 'document' ELSE 'section' END AS scope, CASE WHEN ok % 11 <> 0 THEN CAST(k % 1000 + 1 AS VARCHAR) END AS target FROM s WHERE ln % 4 = 1)"
 
 
 @query(statute.oracle(S_CLAIMS + """ SELECT a.doc_id, a.node_id AS a_id, b.node_id AS b_id, 1.0 :: DOUBLE AS confidence FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.node_id < b.node_id
 WHERE (a.scope = 'document' AND a.section <> b.section OR a.target = b.section) AND (b.scope = 'document' AND a.section <> b.section OR b.target = a.section) AND NOT (a.scope = 'document' AND b.scope = 'document')"""))
 def override_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflict.mutual(conflict.claims(statute.nodes(spark, sf_dir))).select("doc_id", "a_id", "b_id", "confidence")
+    return conflict.mutual(conflict.claims(_numbered(spark, sf_dir))).select("doc_id", "a_id", "b_id", "confidence")
 
 
 @query(statute.oracle(S_CLAIMS + " SELECT doc_id, count(*) AS n_claims, count(DISTINCT section) AS n_sections, 0.5 :: DOUBLE AS confidence FROM c WHERE scope = 'document' GROUP BY doc_id HAVING count(*) >= 2 AND count(DISTINCT section) >= 2"))
 def doc_scope_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflict.clusters(conflict.claims(statute.nodes(spark, sf_dir)))
+    return conflict.clusters(conflict.claims(_numbered(spark, sf_dir)))
 
 
 S_WINDOWS = "w AS (SELECT doc_id, section, count(*) AS n_nodes, string_agg(raw, chr(10) ORDER BY seq) AS text FROM s GROUP BY doc_id, section), g AS (SELECT doc_id, n_nodes, text, length(text) AS chars, " + " OR ".join(f"contains(lower(text), '{t}')" for t in pack.GATE_TERMS) + " AS admitted FROM w)"
@@ -321,7 +325,7 @@ def closure_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exception_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = bundle.saved(statute_nodes(spark, sf_dir), "nodes")
     made = statute_edges(spark, sf_dir, nodes).where("class = 'closure'").select(F.col("src").alias("node_id")).distinct().withColumn("out", F.lit(1))
-    return nodes.where(F.col("raw").rlike(pack.UNITS[0][1])).join(made, "node_id", "left").agg(F.count(F.lit(1)).alias("exceptions"), F.count("out").alias("linked"))
+    return nodes.where(F.col("raw").rlike(pack.java(pack.UNITS[0][1]))).join(made, "node_id", "left").agg(F.count(F.lit(1)).alias("exceptions"), F.count("out").alias("linked"))
 
 
 @query("SELECT doc_id, line, content FROM (SELECT doc_id, generate_subscripts(p, 1) - 1 AS line, unnest(p) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))")

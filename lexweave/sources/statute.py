@@ -1,4 +1,4 @@
-"""A statute made from the relational tables: orders are sections, their lines sub-sections, provisos and definitions.
+"""Statutes made from the relational tables: a thousand orders are one, each a section, its lines sub-sections, provisos and definitions.
 
 The same SQL text runs in Spark and in the oracle; only the name of the string type differs.
 """
@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from lexweave.sources.bundle import saved
 
 SECTIONS = """l AS (SELECT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln, min(l_partkey) AS p FROM {lineitem} GROUP BY l_orderkey, l_linenumber),
-o AS (SELECT DISTINCT ok, ok % 50 AS d FROM l),
+o AS (SELECT DISTINCT ok, CAST((ok - ok % 1000) / 1000 AS BIGINT) AS d FROM l),
 n AS (SELECT ok, d, lag(ok) OVER (PARTITION BY d ORDER BY ok) AS pk, lead(ok) OVER (PARTITION BY d ORDER BY ok) AS nk FROM o),
 k AS (SELECT ok, d, CASE WHEN ok % 2 = 0 THEN coalesce(pk, nk) ELSE coalesce(nk, pk) END AS k FROM n),
 s AS (
   SELECT 'd' || CAST(d AS {string}) AS doc_id, ok * 10 AS seq, 'd' || CAST(d AS {string}) || ':' || CAST(ok * 10 AS {string}) AS node_id, 'structural' AS kind, 1 AS level, ok AS section,
-    'Section ' || CAST(ok AS {string}) || '. Rules of lot ' || CAST(ok AS {string}) || '.' AS raw, ok, CAST(0 AS BIGINT) AS ln, CAST(NULL AS BIGINT) AS p, k FROM k
+    'Section ' || CAST(ok % 1000 + 1 AS {string}) || '. Rules of lot ' || CAST(ok AS {string}) || '.' AS raw, ok, CAST(0 AS BIGINT) AS ln, CAST(NULL AS BIGINT) AS p, k FROM k
   UNION ALL
   SELECT 'd' || CAST(d AS {string}), l.ok * 10 + ln, 'd' || CAST(d AS {string}) || ':' || CAST(l.ok * 10 + ln AS {string}), 'proposition', CASE WHEN ln % 4 = 0 THEN 9 ELSE 2 END, l.ok,
     CASE WHEN ln % 4 = 0 THEN 'Provided that nothing in this section shall apply to part ' || CAST(p AS {string}) || '.'
       WHEN ln % 4 = 1 AND l.ok % 11 = 0 THEN '(' || CAST(ln AS {string}) || ') Notwithstanding anything contained in this Act, part ' || CAST(p AS {string}) || ' prevails.'
-      WHEN ln % 4 = 1 THEN '(' || CAST(ln AS {string}) || ') Notwithstanding anything contained in section ' || CAST(k AS {string}) || ', part ' || CAST(p AS {string}) || ' prevails.'
-      WHEN ln % 4 = 2 THEN '(' || CAST(ln AS {string}) || ') Subject to the provisions of section ' || CAST(k AS {string}) || ',  part ' || CAST(p AS {string}) || ' yields.'
+      WHEN ln % 4 = 1 THEN '(' || CAST(ln AS {string}) || ') Notwithstanding anything contained in section ' || CAST(k % 1000 + 1 AS {string}) || ', part ' || CAST(p AS {string}) || ' prevails.'
+      WHEN ln % 4 = 2 THEN '(' || CAST(ln AS {string}) || ') Subject to the provisions of section ' || CAST(k % 1000 + 1 AS {string}) || ',  part ' || CAST(p AS {string}) || ' yields.'
       WHEN l.ok % 7 = 0 THEN '(' || CAST(ln AS {string}) || ') "stock ' || CAST(p AS {string}) || '" means goods of that part.'
       ELSE '(' || CAST(ln AS {string}) || ') The holder of stock ' || CAST(p AS {string}) || ' keeps a record of it.' END,
     l.ok, ln, p, k FROM l JOIN k ON l.ok = k.ok)"""
