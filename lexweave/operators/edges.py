@@ -53,7 +53,7 @@ def unit_edges(nodes: DataFrame) -> DataFrame:
     own = nodes.where("kind = 'proposition'").withColumns({"unit": name, "type": kind, "dst": F.coalesce("prev_id", "parent_id")})
     own = own.where("unit is not null and dst is not null")
     edge_id = F.concat_ws(":", F.lit("struct"), "unit", "node_id", "dst")
-    return own.select(edge_id.alias("edge_id"), F.col("node_id").alias("src"), "dst", "type", F.lit(1.0).alias("confidence"), F.lit("structural").alias("provenance"), F.lit(0).alias("source"), "doc_id")
+    return own.select(edge_id.alias("edge_id"), F.col("node_id").alias("src"), "dst", "type", F.lit(1.0).alias("confidence"), F.lit("structural").alias("provenance"), F.lit(2).alias("source"), "doc_id")
 
 
 def marker_hits(nodes: DataFrame, markers=pack.MARKERS) -> DataFrame:
@@ -163,6 +163,7 @@ def linked(nodes: DataFrame) -> DataFrame:
     return siblings(nested(sectioned(nodes)))
 
 
-def all_edges(nodes: DataFrame) -> DataFrame:
-    """nodes: linked(). part_of, unit and marker edges, de-duplicated."""
-    return deduped(part_of(nodes).unionByName(unit_edges(nodes)).unionByName(marker_edges(nodes)))
+def all_edges(nodes: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
+    """nodes: linked(). part_of, mention, unit and marker edges, de-duplicated."""
+    every = part_of(nodes).unionByName(unit_edges(nodes)).unionByName(marker_edges(nodes))
+    return deduped(every if mentions is None else every.unionByName(mentions))

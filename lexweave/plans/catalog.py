@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from lexweave import ship
 from lexweave.functions import pack
 from lexweave.functions.text import STOPWORDS, normalized, rendered, token_estimate, tokens
-from lexweave.operators import analytics, conflict, edges, graph, lexicon, retrieval, sections
+from lexweave.operators import analytics, conflict, edges, graph, lexicon, parse, retrieval, sections
 from lexweave.plans import ask
 from lexweave.sources import bundle, statute
 
@@ -375,6 +375,17 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.manifest(nodes.select("doc_id").distinct(), nodes, lexicon.terms(nodes), bundle.saved(statute_edges(spark, sf_dir, nodes), "edges"))
 
 
+@query(statute.oracle("""SELECT doc_id, row_number() OVER w - 1 AS n, CASE WHEN ln = 0 THEN 'structural' ELSE 'proposition' END AS kind, CASE WHEN ln = 0 THEN 'heading' WHEN ln % 4 = 0 THEN 'proviso' ELSE 'subsec' END AS unit, raw,
+CAST(CASE WHEN ln = 0 THEN NULL WHEN ln % 4 = 0 THEN last_value(CASE WHEN ln % 4 <> 0 OR ln = 0 THEN n END IGNORE NULLS) OVER v ELSE last_value(CASE WHEN ln = 0 THEN n END IGNORE NULLS) OVER v END AS BIGINT) AS parent
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS n FROM s) WINDOW w AS (PARTITION BY doc_id ORDER BY seq), v AS (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))
+def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statutes, written out as texts and parsed again."""
+    parts = F.array_sort(F.collect_list(F.struct("seq", "raw")))
+    texts = statute.nodes(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["raw"]), "\n\n").cast("binary").alias("content"))
+    made = parse.nodes(bundle.saved(parse.units(texts), "units"))
+    return made.select("doc_id", F.col("seq").alias("n"), "kind", "unit", "raw", F.regexp_extract("parent_id", r":(\d+)$", 1).cast("long").alias("parent"))
+
+
 @query()
 def ask_statute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir)
