@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexweave.functions.text import tokens
 
+QUERY_BLOCK, VECTOR_BLOCK = 1000, 2000
+
 
 @dataclass
 class Index:
@@ -57,10 +61,45 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((length(a) > 0) & (length(b) > 0), dot / (length(a) * length(b))).otherwise(0.0)
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries: a stated, bounded set (query_id, vector), sent to all executors; vectors: (id, vector)."""
-    own = queries.select("query_id", F.col("vector").alias("_q"))
-    return vectors.join(F.broadcast(own), F.lit(True)).select("query_id", "id", F.round(cosine(F.col("vector"), F.col("_q")), 9).alias("score"))
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k vectors (id, vector) of the highest cosine() above 0 for each query (query_id, vector), with score and rank.
+
+    Queries and vectors meet in blocks, each pair of which gives its k best; vectors that hold a null or NaN have no score.
+    """
+    shards, blocks = -(-max(1, vectors.count()) // VECTOR_BLOCK), -(-max(1, queries.count()) // QUERY_BLOCK)
+    dealt = lambda name, n: F.pmod(F.xxhash64(F.lit(n), name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    doubles = F.col("vector").cast("array<double>").alias("v")
+    some = F.coalesce(~F.exists("vector", lambda x: x.isNull()), F.lit(False))
+    c = vectors.where(some).select("id", doubles, dealt("id", shards).alias("shard")).withColumn("block", every(blocks))
+    q = queries.where(some).select("query_id", doubles, dealt("query_id", blocks).alias("block")).withColumn("shard", every(shards))
+
+    def units(rows: pd.Series, dim: int) -> np.ndarray:
+        v = np.zeros((len(rows), dim))
+        for i, x in enumerate(rows):
+            v[i, : len(x)] = x
+        length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return v / np.where(length > 0, length, 1.0)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [left["query_id"].iloc[:0]], [right["id"].iloc[:0]], [np.zeros(0)]
+        if len(left) and len(right):
+            dim = max(left["v"].map(len).max(), right["v"].map(len).max())
+            near = np.round(units(left["v"], dim) @ units(right["v"], dim).T, 9)
+            ids = right["id"].to_numpy()
+            for query, row in zip(left["query_id"], near):
+                best = np.flatnonzero(row > 0)
+                if len(best) > k:
+                    best = best[row[best] >= np.partition(row[best], -k)[-k]]
+                best = best[np.lexsort((ids[best], -row[best]))][:k]
+                out[0].append(pd.Series([query] * len(best), dtype=left["query_id"].dtype))
+                out[1].append(pd.Series(ids[best]))
+                out[2].append(row[best])
+        return pd.DataFrame({"query_id": pd.concat(out[0], ignore_index=True), "id": pd.concat(out[1], ignore_index=True), "score": np.concatenate(out[2])})
+
+    types = {n: df.schema[n].dataType.simpleString() for df, n in ((queries, "query_id"), (vectors, "id"))}
+    met = q.groupBy("block", "shard").cogroup(c.groupBy("block", "shard")).applyInPandas(meet, f"query_id {types['query_id']}, id {types['id']}, score double")
+    return top(met, k)
 
 
 def fused(*ranked: DataFrame, k: int = 60) -> DataFrame:

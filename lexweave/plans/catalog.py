@@ -41,8 +41,8 @@ def statute_edges(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = No
 
 
 def seeds(nodes: DataFrame) -> DataFrame:
-    """Each sub-section that yields to another, of every 97th section, asks a query of its own."""
-    return nodes.where("ok % 97 = 1 and ln % 4 = 2").select(F.col("node_id").alias("query_id"), "node_id")
+    """Each node, a section or what stands in one, asks a query of its own."""
+    return nodes.select(F.col("node_id").alias("query_id"), "node_id")
 
 
 S_SEEDS = "seeds AS (SELECT node_id AS query_id, node_id FROM s WHERE ok % 97 = 1 AND ln % 4 = 2)"
@@ -60,7 +60,7 @@ vscored AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(v, CAST(
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), "text")
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,14 +87,14 @@ def tfidf_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.relevance(_scored(spark, sf_dir).where("score > 0")).withColumn("relevance", F.round("relevance", 6))
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     own = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return retrieval.vector_scores(own, own.where("id < 20").select(F.col("id").alias("query_id"), "vector"))
+    return retrieval.vector_top(own, own.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), k)
 
 
 @query(f"WITH {D_VECTOR} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vscored WHERE score > 0) WHERE rank <= 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top(_vectors(spark, sf_dir), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return _nearest(spark, sf_dir, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {D_INDEX}, {D_VECTOR},
@@ -102,7 +102,7 @@ r AS (SELECT query_id, id, 'dense' AS source, row_number() OVER (PARTITION BY qu
   UNION ALL SELECT query_id, id, 'sparse', row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM scored WHERE score > 0)
 SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score, string_agg(source, ',' ORDER BY source) AS sources FROM r WHERE rank <= 24 GROUP BY query_id, id""")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense, sparse = (retrieval.top(df, 24).select("query_id", "id", "rank", F.lit(name).alias("source")) for df, name in ((_vectors(spark, sf_dir), "dense"), (_scored(spark, sf_dir), "sparse")))
+    dense, sparse = (df.select("query_id", "id", "rank", F.lit(name).alias("source")) for df, name in ((_nearest(spark, sf_dir, 24), "dense"), (retrieval.top(_scored(spark, sf_dir), 24), "sparse")))
     return retrieval.fused(dense, sparse).withColumn("score", F.round("score", 6))
 
 
@@ -364,7 +364,7 @@ SELECT root AS query_id, node_id, min(hops) AS hops FROM v GROUP BY root, node_i
 def version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = bundle.saved(statute_nodes(spark, sf_dir), "nodes")
     walk = graph.steps(statute_edges(spark, sf_dir, nodes).where("type = 'supersedes'"), "closure")
-    roots = nodes.where("ln = 0 and ok % 29 = 0").select(F.col("node_id").alias("query_id"), "node_id")
+    roots = nodes.where("ln = 0").select(F.col("node_id").alias("query_id"), "node_id")
     return graph.closure(roots, walk, nodes)[0].select("query_id", "node_id", "hops")
 
 
@@ -395,5 +395,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions over the statute: TF-IDF seeds, closure, context, assembled text and verdict."""
     nodes = bundle.saved(statute_nodes(spark, sf_dir), "nodes")
     made = bundle.saved(statute_edges(spark, sf_dir, nodes), "edges")
-    asked = nodes.where("ok % 397 = 1 and ln = 0").select(F.col("node_id").alias("query_id"), F.col("raw").alias("text"))
+    asked = nodes.where("ln = 0").select(F.col("node_id").alias("query_id"), F.col("raw").alias("text"))
     return ask.run(nodes.withColumn("text", F.col("raw")), made, asked)
