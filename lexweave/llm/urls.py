@@ -1,8 +1,9 @@
 """URL filters: allow and block rules by host suffix and path prefix, and a Bloom filter cascade for listed keys.
 
 The cascade's odd levels encode listed keys, its even levels the false positives that the level before has among the
-corpus's other keys (and, in turn, among the listed ones), until a level has none. For every key of the corpus membership
-is therefore exact, and judging a url needs neither join nor shuffle: a few array reads inside code generation.
+corpus's other keys (and, in turn, among the listed ones), until few or none are left or the levels have run out; what is
+left is kept as it is, dealt out by hash. For every key of the corpus membership is therefore exact, and judging a url needs
+neither join nor shuffle: a few array reads inside code generation.
 
 Edge cases: a null url or one without "://" has empty host and path, and the key ''. Repeated urls get equal verdicts.
 An empty table gives an empty result. Columns beside the url are kept, those named like new ones are replaced.
@@ -22,6 +23,8 @@ from lexweave.llm.common import lower_ascii, saved
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 MAX_LISTED = 1 << 20
 """Listed keys up to which the cascade is built and sent to all executors (10 bits a key and level at most); beyond, keys are joined."""
+FEW = 64
+"""Keys that are kept as they are rather than encoded in one more level."""
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -45,10 +48,10 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 class Cascade:
-    """levels: (words as an array column of 64-bit longs, bits, hashes) in turn."""
+    """levels: (words as an array column of 64-bit longs, bits, hashes) in turn; rest: what one more level would encode, as an array column of lists by hash, and their count."""
 
-    def __init__(self, levels: list[tuple[Column, int, int]]):
-        self.levels = levels
+    def __init__(self, levels: list[tuple[Column, int, int]], rest: tuple[Column, int] | None = None):
+        self.levels, self.rest = levels, rest
 
     @staticmethod
     def positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
@@ -65,6 +68,9 @@ class Cascade:
     def contains(self, key: Column) -> Column:
         """True for listed keys of the universe that the cascade was built for."""
         out = F.lit(len(self.levels) % 2 == 1)
+        if self.rest:
+            lists, n = self.rest
+            out = out != F.coalesce(F.array_contains(F.get(lists, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), key), F.lit(False))
         for level in range(len(self.levels) - 1, -1, -1):
             out = F.when(self.hit(key, level, *self.levels[level]), out).otherwise(F.lit(level % 2 == 1))
         return out
@@ -75,7 +81,7 @@ class Cascade:
         spark, levels = universe.sparkSession, []
         encode, others = universe.where("listed").select("key"), universe.where("not listed").select("key")
         n = encode.count()
-        while n and len(levels) < max_levels:
+        while n and len(levels) < max_levels and (n > FEW or not levels):
             level, rate = len(levels), 0.02 if not levels else 0.5
             hashes = max(1, round(-log(rate) / log(2)))
             bits = 64 * ceil(max(64, n * hashes / log(2)) / 64)
@@ -88,9 +94,12 @@ class Cascade:
             levels.append((column, bits, hashes))
             encode, others = others.where(cls.hit(F.col("key"), level, column, bits, hashes)), encode
             n = encode.count()
-        if n:
-            raise ValueError("the cascade did not end")
-        return cls(levels)
+        if not n:
+            return cls(levels)
+        lists: list[list[str]] = [[] for _ in range(n)]
+        for row in encode.select("key", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("at")).toLocalIterator():  # halved by every second level
+            lists[row.at].append(row.key)
+        return cls(levels, (spark.createDataFrame([(lists,)], "lists array<array<string>>").scalar(), n))
 
 
 def judge_urls(pages: DataFrame, universe: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", max_listed: int = MAX_LISTED) -> DataFrame:

@@ -58,3 +58,11 @@ def test_main_path_runs_no_python(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string").repartition(2)
     plan = urls.judge_urls(pages, tracking_keys(pages))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_cascade_is_exact_when_the_levels_run_out(spark):
+    universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed")).cache()
+    for most in (0, 1, 2, 4):
+        cascade = Cascade.build(universe, most)
+        assert len(cascade.levels) == most and cascade.rest[1] > urls.FEW
+        assert universe.where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
