@@ -1,9 +1,12 @@
-"""Licence scans: phrases in whole texts, and an exact set-similarity join of text blocks (lines) with licence templates.
+"""Licence scans: phrases in whole texts, and an exact set-similarity join of text blocks with licence templates.
+
+A block is a line, or a run of words across lines, WINDOW times as long as the template, as notices are often wrapped.
 
 Words are put in one global order, rarest in the corpus first. A line can only hold the share CONTAINMENT of a template's
 words if it has one of the template's first |T| - need + 1 words in that order (prefix filter), has at least `need`
 distinct words (length filter), and if the first such word leaves enough of the template's words behind it (positional
 filter). Lines that pass are verified on their whole word sets, so the join finds every line and template that qualify.
+Runs are looked for only in texts of several lines that hold `need` of the template's words at all.
 
 Only templates are broadcast (a list in code, bounded by its length); only counts of their words reach the driver.
 Edge cases: a null text is empty; texts without words have no labels and score 0. Rows that repeat a doc_id share the
@@ -24,6 +27,7 @@ from lexweave.llm.common import fast_lower, saved
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 CONTAINMENT = 0.8
+WINDOW = 2
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0",
     "cc-by-nc": "licensed under cc by nc 4 0",
@@ -71,15 +75,22 @@ def phrase_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame
 
 
 def template_join(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """Every (doc_id, line, template, overlap, size) such that the line holds at least the share containment of the template's distinct words."""
+    """Every (doc_id, line, template, overlap, size) such that the line holds at least the share containment of the template's distinct words.
+
+    line is null for the best run of words of a text of several lines.
+    """
     spark = docs.sparkSession
     sets = {name: tokens_of(t) for name, t in templates.items()}
     vocabulary = sorted({w for s in sets.values() for w in s})
     need = {name: ceil(containment * len(s) - 1e-9) for name, s in sets.items()}
-    lines = docs.select("doc_id", F.posexplode(F.split(fast_lower(F.coalesce("text", F.lit(""))), "\n")).alias("line", "block"))
-    # a line needs words of the vocabulary, so the first pass over texts keeps its distinct words of it only
-    held = F.array_intersect(F.regexp_extract_all("block", F.lit(TOKEN), F.lit(0)), F.array(*map(F.lit, vocabulary)))
-    held = saved(lines.select("doc_id", "line", held.alias("words")).where(F.size("words") > 0), "licence-words")
+    lower, listed = fast_lower(F.coalesce("text", F.lit(""))), lambda words: F.array(*map(F.lit, words))
+    # a block needs words of the vocabulary, so the first pass over texts keeps each line's distinct words of it only
+    lines = F.transform(F.split(lower, "\n"), lambda x: F.array_intersect(F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0)), listed(vocabulary)))
+    rows = docs.select("doc_id", "text", lines.alias("lines")).withColumn("words", F.array_distinct(F.flatten("lines"))).where(F.size("words") > 0)
+    fits = F.array(*[F.when(F.size(F.array_intersect("words", listed(s))) >= need[name], F.lit(name)) for name, s in sets.items()])
+    rows = rows.withColumn("maybe", F.when(F.size("lines") > 1, F.filter(fits, lambda x: x.isNotNull())))
+    rows = saved(rows.select("doc_id", "lines", "maybe", F.when(F.size("maybe") > 0, F.regexp_extract_all(lower, F.lit(TOKEN), F.lit(0))).alias("text")), "licence-words")
+    held = rows.select("doc_id", F.posexplode("lines").alias("line", "words")).where(F.size("words") > 0)
     counts = {r.word: r.n for r in held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = {w: (counts.get(w, 0), w) for w in vocabulary}
     prefix = [(w, name, i) for name, s in sets.items() for i, w in enumerate(sorted(s, key=order.get)[: len(s) - need[name] + 1])]
@@ -89,7 +100,15 @@ def template_join(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contai
     hits = hits.join(F.broadcast(prefixes), "word").join(F.broadcast(whole), "template")
     hits = hits.where((F.size("words") >= F.col("need")) & (F.col("size") - F.col("at") >= F.col("need")))
     overlap = F.size(F.array_intersect("words", "tokens"))
-    return hits.select("doc_id", "line", "template", overlap.alias("overlap"), "size", "need").where("overlap >= need").drop("need").distinct()
+    hits = hits.select("doc_id", "line", "template", overlap.alias("overlap"), "size", "need")
+
+    def best(name: str) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size("text")), lambda i: F.array_contains(listed(sets[name]), F.get("text", i - 1)))
+        held_by = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("text", i, WINDOW * len(templates[name].split())), listed(sets[name]))))
+        return F.when(F.array_contains("maybe", name), F.struct(F.lit(name).alias("template"), F.array_max(held_by).alias("overlap"), F.lit(len(sets[name])).alias("size"), F.lit(need[name]).alias("need")))
+
+    runs = rows.where("text is not null").select("doc_id", F.lit(None).cast("int").alias("line"), F.explode(F.array(*map(best, sets))).alias("b")).select("doc_id", "line", "b.*")
+    return hits.unionByName(runs).where("overlap >= need").drop("need").distinct()
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:

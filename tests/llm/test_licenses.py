@@ -42,3 +42,26 @@ def test_against_brute_force(spark):
 def test_odd_rows_and_empty_table(spark):
     assert licenses.scan(odd(spark)).count() == odd(spark).count()
     assert licenses.scan(none(spark)).count() == 0
+
+
+WRAPPED = {
+    "mit-grant": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "bsd": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:""",
+    "cc0": """ * To the extent possible under law, the author has waived all copyright
+ * and related or neighboring rights
+ * to this work.""",
+    "mpl-2.0": """/* This Source Code Form is subject to the terms of the Mozilla
+ * Public License, v. 2.0. If a copy of the MPL was not distributed */""",
+    "all-rights-reserved": "Copyright (c) 2020 Foo\r\nAll rights reserved.",
+}
+
+
+def test_wrapped_notices_are_found(spark):
+    far = ("\n" + words(60, 9) + "\n").join(WRAPPED["bsd"].split())
+    docs = spark.createDataFrame([*((n, words(30, 1) + "\n\n" + t + "\n" + words(30, 2)) for n, t in WRAPPED.items()), ("far", far)], "doc_id string, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert got == {n: (n, 1.0) for n in WRAPPED} | {"far": ("", 0.0)}
