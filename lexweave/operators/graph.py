@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,16 +40,17 @@ def steps(edges: DataFrame, class_: str, overrides: dict | None = None) -> DataF
     return back.unionByName(on)
 
 
-def closure(seeds: DataFrame, walk: DataFrame, nodes: DataFrame, min_confidence: float = 0.0, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+def closure(seeds: DataFrame, walk: DataFrame, nodes: DataFrame, min_confidence: float = 0.0, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """seeds (query_id, node_id) to their fixed point over walk (steps of class closure).
 
     Returns arrivals (query_id, node_id, hops, via) and skipped (query_id, edge_id, to_id, reason). Each round joins the
-    newest arrivals with the steps and leaves out what was reached before; rounds end when nothing is new.
+    newest arrivals with the steps and leaves out what was reached before; rounds end when nothing is new. If they end after
+    most rounds instead, the steps that were left to take are in skipped.
     """
     walk, known = saved(walk, "steps"), nodes.select(F.col("node_id").alias("to_id")).distinct()
     front = saved(seeds.select("query_id", "node_id").distinct().withColumns({"hops": F.lit(0), "via": F.lit(None).cast("string")}), "front")
     seen, skipped = front, None
-    for hop in range(1, most + 1):
+    for hop in count(1):
         met = front.select("query_id", F.col("node_id").alias("from_id")).join(walk, "from_id")
         weak, capped = F.col("confidence") < min_confidence, F.coalesce(F.col("max_hops") < hop, F.lit(False))
         there = known.withColumn("there", F.lit(True))
@@ -57,6 +59,10 @@ def closure(seeds: DataFrame, walk: DataFrame, nodes: DataFrame, min_confidence:
         met = saved(met.withColumn("reason", reason).select("query_id", "to_id", "edge_id", "turn", "reason"), "met")
         lost = met.where("reason is not null").select("query_id", "edge_id", "to_id", "reason")
         skipped = lost if skipped is None else skipped.unionByName(lost)
+        if most is not None and hop > most:
+            left = met.where("reason is null").join(seen.select("query_id", F.col("node_id").alias("to_id")), ["query_id", "to_id"], "left_anti")
+            skipped = skipped.unionByName(left.select("query_id", "edge_id", "to_id", F.lit(f"beyond {most} rounds").alias("reason")))
+            break
         new = met.where("reason is null").join(seen.select("query_id", F.col("node_id").alias("to_id")), ["query_id", "to_id"], "left_anti")
         new = new.groupBy("query_id", F.col("to_id").alias("node_id")).agg(F.min_by("edge_id", F.struct("turn", "edge_id")).alias("via"))
         front = saved(new.select("query_id", "node_id", F.lit(hop).alias("hops"), "via"), "front")

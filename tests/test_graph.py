@@ -1,3 +1,5 @@
+import inspect
+
 from lexweave.operators import graph, retrieval
 
 EDGES = "edge_id string, src string, dst string, type string, class string, confidence double"
@@ -28,6 +30,16 @@ def test_definitions_are_capped_and_what_is_skipped_is_told(spark):
     assert skipped == {"defines is capped at 2 hops", "node not in graph", "below minimum confidence"}
 
 
+def test_what_the_rounds_leave_is_told(spark):
+    chain = [(f"n{i + 1}", f"n{i}", "exception_of", 1.0) for i in range(4)]
+    assert closed(spark, chain, "n0", most=2) == ({"n0": 0, "n1": 1, "n2": 2}, {"beyond 2 rounds"})
+    assert closed(spark, chain, "n0", most=4) == ({f"n{i}": i for i in range(5)}, set())
+
+
+def test_rounds_have_no_bound_of_their_own():
+    assert inspect.signature(graph.closure).parameters["most"].default is None
+
+
 def test_soundness_names_what_is_missing(spark):
     edges = spark.createDataFrame([("e", "exc", "rule", "exception_of", "closure", 1.0)], EDGES)
     nodes = spark.createDataFrame([("exc",), ("rule",)], "node_id string")
