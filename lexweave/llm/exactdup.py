@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import saved, shared_dir, without
+from lexweave.llm.common import saved, shared_dir, small_or_not
 
 BUCKETS = 32
 HOT = 1000
@@ -77,5 +77,6 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """docs without the rows of which another row with the same text stays."""
-    verdicts = saved(dedup(docs, index).where("not kept").select("doc_id"), "copies")
-    return without(docs, verdicts)
+    verdicts = saved(dedup(docs, index).where("not kept").select("doc_id", F.col("digest").alias("_digest")).distinct(), "copies")
+    marked = docs.withColumn("_digest", digest(F.col("text")))
+    return marked.join(small_or_not(verdicts, 250_000), ["doc_id", "_digest"], "left_anti").select(docs.columns)

@@ -40,3 +40,8 @@ def test_drop_copies_keeps_columns(spark):
     kept = exactdup.drop_copies(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3, 6, 7, 8, 9, 10, 11, None}
     assert exactdup.dedup(none(spark)).count() == 0
+
+
+def test_a_repeated_id_keeps_its_other_text(spark):
+    docs = spark.createDataFrame([(5, "a"), (5, "b"), (7, "a")], "doc_id long, text string")
+    assert sorted(map(tuple, exactdup.drop_copies(docs).collect())) == [(5, "b"), (7, "a")]
