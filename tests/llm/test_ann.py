@@ -10,7 +10,7 @@ def brute(rows, every, k):
     for i, v, _ in rows:
         if i is None or v is None or not v or any(x is None or not np.isfinite(x) for x in v) or not any(v):
             continue
-        usable[i] = [float(np.float32(x)) for x in v] if i not in usable else min(usable[i], [float(np.float32(x)) for x in v])
+        usable[i] = [float(np.float32(x)) for x in v]
     out = {}
     for q in (i for i in usable if i % every == 0):
         scores = []
@@ -62,3 +62,31 @@ def test_hot_vector_and_many_blocks(spark, monkeypatch):
 
 def test_empty(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_cells_and_recall_on_clusters(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 100)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 32))
+    v = np.concatenate([centres[rng.integers(0, 12, 1500)] + 0.05 * rng.standard_normal((1500, 32)), rng.standard_normal((900, 32))])
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)]
+    want, got = brute(rows, 20, 20), found(ann.nearest(spark.createDataFrame(rows, SCHEMA)))
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.97 * 20 * len(want)
+
+
+def test_estimates_hold_their_bounds():
+    rng = np.random.default_rng(4)
+    v, q = rng.standard_normal((400, 100)), rng.standard_normal((30, 100))
+    at, turn = np.zeros((1, 100)), ann.rotation(100, 5)
+    made = ann.encoded(v, at, turn)
+    assert made["code"].dtype == np.uint8 and made["code"].shape == (400, 16)
+    near, wide = ann.estimates(q @ turn.T, at[0], made["code"].view(np.uint64), made["length"], made["fit"])
+    assert (np.abs(near - q @ v.T) <= wide).mean() > 0.95
+
+
+def test_one_id_with_two_vectors_and_clashing_columns(spark):
+    from .helpers import clashing
+
+    rows = [(20, [1.0, 0.0], 0), (20, [0.0, 1.0], 0), (20, [0.0, 1.0], 0), (1, [2.0, 0.5], 0)]
+    got = ann.nearest(clashing(spark.createDataFrame(rows, SCHEMA), "id", "mark", "dim", "v", "cell", "score", "rank")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(20, 1, 1, 0.5), (20, 1, 1, 2.0), (20, 2, 20, 0.0), (20, 2, 20, 0.0)]
