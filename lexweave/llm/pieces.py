@@ -21,19 +21,25 @@ import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from lexweave import ship
 from lexweave.llm.common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 200_000
-"""Words, and twice as many piece pairs, that a worker remembers between batches (some 100 MB)."""
+SLICE = 4 << 20
+"""Bytes of text that are encoded at once (one document at least); decoding takes a quarter of it, as it needs a number for each byte."""
+CACHE = 48 << 20
+"""Bytes of words with their ids, and of piece pairs, that a worker remembers between slices, about."""
+
+
+ENDING = 4
+"""Last characters by which the pieces that may end a prefix are looked up."""
 
 
 @dataclass
@@ -68,13 +74,9 @@ class Pieces:
         names = ["" if p.type == 3 else p.piece for p in m.pieces]
         return cls(kind, names, {p: m.pieces[i].score for p, i in usual.items()}, usual, byte_ids, m.trainer_spec.unk_id, m.normalizer_spec.add_dummy_prefix)
 
-    def words(self) -> re.Pattern:
-        """Marked words: also cut at control characters that no longer piece has."""
-        cut = "".join(c for c in "\n\r\t" if not any(c in p for p in self.ids if len(p) > 1))
-        return re.compile(f"{MARK}+[^{MARK}{cut}]*|[^{MARK}{cut}]+" + (f"|[{cut}]" if cut else ""))
-
-    def marked(self, text: str) -> str:
-        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+    def cuts(self) -> bytes:
+        """Control characters at which marked words end: those that no longer piece has."""
+        return "".join(c for c in "\n\r\t" if not any(c in p for p in self.ids if len(p) > 1)).encode()
 
 
 def merged(chars: str, scores: dict[str, float]) -> list[str]:
@@ -100,14 +102,16 @@ def merged(chars: str, scores: dict[str, float]) -> list[str]:
 
 class Encoder:
     def __init__(self, model: Pieces):
-        self.model, self.apart, self.recent, self.older = model, {}, {}, {}
-        self.words = model.words()
+        self.model, self.apart, self.known, self.held = model, {}, {}, 0
+        self.cuts = np.zeros(256, bool)
+        self.cuts[list(model.cuts())] = True
         self.longest = max(map(len, model.ids), default=1)
         ends: dict[str, set[int]] = {}
         for p in model.ids:
-            if len(p) > 1:
-                ends.setdefault(p[-2:], set()).add(len(p))
-        self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in ends.items()}
+            for n in range(2, min(len(p), ENDING) + 1):
+                ends.setdefault(p[-n:], set()).update((len(p),) if n == ENDING or n == len(p) else ())
+        # lengths of the pieces that end as a prefix does, longest first: by ENDING characters for those that have as many, else by all of them
+        self.lengths = {end: tuple(sorted((m for k in range(2, len(end) + 1) for m in ends[end[-k:]]), reverse=True)) for end in ends}
         self.forward = self._merge if model.kind == "bpe" else self._viterbi
         self.lowest = min(model.scores.values(), default=0.0) - 10
 
@@ -122,7 +126,11 @@ class Encoder:
         """table[i]: last piece of the merge result of word[:i]; entries after start are filled in."""
         find, known, scores, lengths = self.model.ids.get, self.apart.get, self.model.scores, self.lengths
         for i in range(start + 1, len(word) + 1):
-            for n in lengths.get(word[i - 2 : i], ()) if i > 1 else ():
+            near = ()
+            for n in range(min(i, ENDING), 1, -1):
+                if (near := lengths.get(word[i - n : i], ())) != ():
+                    break
+            for n in near:
                 if n > i:
                     continue
                 t = word[i - n : i]
@@ -155,7 +163,7 @@ class Encoder:
 
     def learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct words, by one walk through their trie."""
-        if len(self.apart) > 2 * CACHE:
+        if 100 * len(self.apart) > CACHE:  # a pair takes some 100 bytes, with its place in the table
             self.apart.clear()
         ids, byte_ids, unknown, viterbi = self.model.ids, self.model.byte_ids, self.model.unknown, self.model.kind != "bpe"
         table: list = [(0.0, "")] if viterbi else [""]
@@ -181,78 +189,118 @@ class Encoder:
             made[word] = tuple(out)
         return made
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, list[int | None]]:
-        """All ids in one array, and how many are each text's (None: a null text)."""
-        find, recent, older = self.words.findall, self.recent, self.older
-        split = [() if t is None else find(self.model.marked(t)) for t in texts]
-        words = set().union(*split)
-        now = self.learn(w for w in words if w not in recent and w not in older)
-        now.update((w, recent.get(w) or older[w]) for w in words if w not in now)
-        # words that come again stay known: those of the last slices
-        recent.update(now)
-        if len(recent) > CACHE // 2:
-            self.older, self.recent = recent, {}
-        number = dict(zip(now, range(len(now))))
-        length = np.fromiter(map(len, now.values()), np.int64, len(now))
-        flat = np.fromiter(chain.from_iterable(now.values()), np.int32, int(length.sum()))
-        count = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
-        n, first = length[at], (np.cumsum(length) - length)[at]
-        done = np.concatenate(([0], np.cumsum(n)))
-        values = flat[np.repeat(first - done[:-1], n) + np.arange(done[-1])]
-        end = done[np.cumsum(count)]
-        sizes = np.diff(end, prepend=0).tolist()
-        return values, [None if t is None else k for t, k in zip(texts, sizes)]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and where each text's begin and end. Null texts have none.
+
+        Words are found in the texts' bytes and told apart by Arrow, so Python only sees distinct ones.
+        """
+        raw, start = marked(texts, self.model.prefix)
+        if not len(raw):
+            return np.zeros(0, np.int32), np.zeros(len(start), np.int64)
+        space, cut = raw == 32, self.cuts[raw]
+        begins = cut.copy()
+        begins[0] = True
+        begins[1:] |= cut[:-1] | (space[1:] & ~space[:-1])
+        begins[start[:-1][start[:-1] < len(raw)]] = True
+        at = np.flatnonzero(begins)
+        kind = (pa.string(), np.int32) if len(raw) < 1 << 31 else (pa.large_string(), np.int64)
+        words = pa.Array.from_buffers(kind[0], len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype(kind[1])), pa.py_buffer(raw)]).dictionary_encode()
+        names, number = words.dictionary.to_pylist(), words.indices.to_numpy()
+        known = self.known
+        made = self.learn(w.replace(" ", MARK) for w in names if w not in known)
+        ids = [known.get(w) or made[w.replace(" ", MARK)] for w in names]
+        new = [(w, i) for w, i in zip(names, ids) if w not in known]
+        self.held += sum(180 + len(w) + 16 * len(i) for w, i in new)
+        if self.held > CACHE:  # words that come again stay known: those of the last slice
+            known.clear()
+            new, self.held = list(zip(names, ids)), 0
+        known.update(new)
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((x for i in ids for x in i), np.int32, int(length.sum()))
+        first, n = (np.cumsum(length) - length)[number], length[number]
+        values = gathered(flat, first, n)
+        return values, np.concatenate(([0], np.cumsum(n)))[np.searchsorted(at, start)]
+
+
+def marked(texts: pa.Array, prefix: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes one after the other, with white space for marks and one more at the start of each that is not empty, and where they begin and end."""
+    texts = pc.fill_null(pc.replace_substring(texts, MARK, " "), "")
+    if prefix:
+        texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise("", texts, " "))
+    size = pc.binary_length(texts).to_numpy().astype(np.int64)
+    _, places, data = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    begin = int(np.frombuffer(places, wide, 1, texts.offset * np.dtype(wide).itemsize)[0]) if len(texts) else 0
+    total = int(size.sum())
+    raw = np.frombuffer(data, np.uint8, total, begin) if total else np.zeros(0, np.uint8)
+    return raw, np.concatenate(([0], np.cumsum(size)))
+
+
+def gathered(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs values[first : first + n], one after the other."""
+    done = np.cumsum(n)
+    return values[np.repeat(first - done + n, n) + np.arange(done[-1] if len(done) else 0)]
 
 
 class Decoder:
     def __init__(self, model: Pieces):
         self.model, self.byte_of = model, {i: b for b, i in enumerate(model.byte_ids)}
-        self.high = {i for i, b in self.byte_of.items() if b > 127}
-        self.names = list(model.names)
-        for i, b in self.byte_of.items():
-            self.names[i] = chr(b) if b < 128 else ""
-
-    def decode(self, ids: Iterable[int]) -> str:
-        names = self.names
-        if self.high.isdisjoint(ids):
-            text = "".join(map(names.__getitem__, ids))
-        else:
-            out = bytearray()
-            for i in ids:
-                out += bytes((b,)) if (b := self.byte_of.get(i)) is not None else names[i].encode()
-            text = out.decode("utf-8", "replace")
-        text = text.replace(MARK, " ")
-        return text[1:] if self.model.prefix and text[:1] == " " else text
-
-
-def same(texts: list[str | None], values: np.ndarray, offsets: np.ndarray, decoder: Decoder) -> list[bool | None]:
+        spelled = [bytes((self.byte_of[i],)) if i in self.byte_of else p.encode() for i, p in enumerate(model.names)]
+        spelled = [s.replace(MARK.encode(), b" ") for s in spelled]
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.length = np.array([len(s) for s in spelled], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+
+    def bytes_of(self, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What lists of ids spell in bytes, one after the other, and where each begins and ends. start: where the lists do."""
+        n = self.length[ids]
+        return gathered(self.spelled, self.first[ids], n), np.concatenate(([0], np.cumsum(n)))[start]
+
+    def decode(self, ids: np.ndarray, start: np.ndarray) -> list[str]:
+        """The text of each list. Bytes that are no UTF-8 become the replacement character."""
+        raw, at = self.bytes_of(np.asarray(ids, np.int64), start)
+        every = raw.tobytes()
+        lead = self.model.prefix
+        return [every[a + (lead and every[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(at.tolist(), at[1:].tolist())]
+
+
+def same(texts: pa.Array, ids: np.ndarray, start: np.ndarray, decoder: Decoder) -> np.ndarray:
     """Does each text equal what its ids decode to?"""
-    ids = values.tolist()
-    return [None if t is None else decoder.decode(ids[a:b]) == t for t, a, b in zip(texts, offsets, offsets[1:])]
+    wanted = pc.fill_null(texts, "")
+    if decoder.model.prefix:
+        wanted = pc.if_else(pc.equal(wanted, ""), wanted, pc.binary_join_element_wise("", wanted, " "))
+    out, at = np.zeros(len(texts), bool), 0
+    for part in slices(pa.record_batch([wanted], ["text"]), "text", SLICE // 4):
+        to = at + part.num_rows
+        raw, end = decoder.bytes_of(ids[start[at] : start[to]], start[at : to + 1] - start[at])
+        raw = raw.tobytes()
+        out[at:to] = [raw[a:b] == t.as_buffer().to_pybytes() for t, a, b in zip(part.column(0), end.tolist(), end[1:].tolist())]
+        at = to
+    return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, tuple[Encoder, Decoder]] = {}
 
 
 def encode(docs: DataFrame, model: Pieces | None = None, text: str = "text", ids: str = "ids", check: bool = False) -> DataFrame:
     """docs with ids (array<int>) and n_tokens in place of columns so named; with check also round_trip: do the ids decode to the text?"""
+    ship(docs.sparkSession)
     shared, key = docs.sparkSession.sparkContext.broadcast(model or Pieces.load()), uuid.uuid4().hex
     keep = [c for c in docs.columns if c not in (ids, "n_tokens", "round_trip")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _ENCODERS:
+        if key not in _ENCODERS:  # a reused worker keeps what it has learnt, for one model at a time
             _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(shared.value)
-        encoder, decoder = _ENCODERS[key], Decoder(shared.value)  # a reused worker keeps what it has learnt
+            _ENCODERS[key] = Encoder(shared.value), Decoder(shared.value)
+        encoder, decoder = _ENCODERS[key]
         for whole in batches:
-            for b in slices(whole, text, 6 << 20):
-                texts = b.column(text).to_pylist()
-                values, sizes = encoder.encode(texts)
-                offsets = np.concatenate(([0], np.cumsum([n or 0 for n in sizes]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([n is None for n in sizes], pa.bool_()))
-                more = [pa.array(same(texts, values, offsets, decoder), pa.bool_())] if check else []
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists, pa.array(sizes, pa.int64()), *more], [*keep, ids, "n_tokens", *["round_trip"] * check])
+            for b in slices(whole, text, SLICE):
+                texts = b.column(text)
+                values, start = encoder.encode(texts)
+                null = texts.is_null().to_numpy(zero_copy_only=False)
+                lists = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(values), mask=pa.array(null))
+                more = [pa.array(same(texts, values, start, decoder), pa.bool_(), mask=null)] if check else []
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists, pa.array(np.diff(start), pa.int64(), mask=null), *more], [*keep, ids, "n_tokens", *["round_trip"] * check])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"`{ids}` array<int>", "n_tokens bigint", *["round_trip boolean"] * check])
@@ -261,17 +309,17 @@ def encode(docs: DataFrame, model: Pieces | None = None, text: str = "text", ids
 
 def decode(docs: DataFrame, model: Pieces | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with the text that ids stand for (null for null ids)."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or Pieces.load())
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields if f.name != text}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for whole in batches:
-            for b in slices(whole, ids):
+            for b in slices(whole, ids, SLICE // 4):
                 lists = b.column(ids)
-                values, sizes = lists.flatten().to_numpy().tolist(), pc.list_value_length(lists).to_pylist()
-                end = np.cumsum([n or 0 for n in sizes]).tolist()
-                texts = pa.array([None if n is None else decoder.decode(values[to - n : to]) for n, to in zip(sizes, end)], pa.string())
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kinds], texts], [*kinds, text])
+                null, sizes = lists.is_null().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                texts = decoder.decode(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))))
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kinds], pa.array([None if n else t for n, t in zip(null, texts)], pa.string())], [*kinds, text])
 
     return docs.select(*kinds).mapInArrow(run, ", ".join([*[f"`{c}` {k}" for c, k in kinds.items()], f"`{text}` string"]))

@@ -1,6 +1,7 @@
 import glob
 import os
 
+import pyarrow as pa
 import pytest
 
 from lexweave.llm import pieces
@@ -21,14 +22,14 @@ def test_ids_equal_the_librarys(path):
         pytest.skip("a normalizer of another kind")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     encoder, decoder = pieces.Encoder(model), pieces.Decoder(model)
-    values, sizes = encoder.encode(TEXTS)
-    at = 0
-    for t, n in zip(TEXTS, sizes):
-        ids = values[at : at + n].tolist()
-        at += n
-        assert ids == library.encode(t), t[:50]
+    values, start = encoder.encode(pa.array(TEXTS))
+    back = decoder.decode(values, start)
+    fits = pieces.same(pa.array(TEXTS), values, start, decoder)
+    for t, a, b, text, ok in zip(TEXTS, start, start[1:], back, fits):
+        assert values[a:b].tolist() == library.encode(t), t[:50]
+        assert ok == (text == t)
         if "▁" not in t and "\x00" not in t and model.byte_ids:
-            assert decoder.decode(ids) == t
+            assert text == t
 
 
 def test_round_trip_in_spark(spark):
@@ -52,5 +53,5 @@ def test_equal_texts_equal_ids_and_empty_table(spark):
 
 def test_viterbi_finds_the_best_score():
     model = pieces.Pieces("unigram", ["a", "b", "ab", "abc", "c", "bc", "▁"], {"a": -1, "b": -1.1, "ab": -1.5, "abc": -4, "c": -1.2, "bc": -1.4, "▁": -0.5}, {p: i for i, p in enumerate(["a", "b", "ab", "abc", "c", "bc", "▁"])})
-    values, _ = pieces.Encoder(model).encode(["abc"])
+    values, _ = pieces.Encoder(model).encode(pa.array(["abc"]))
     assert [model.names[i] for i in values] == ["▁", "a", "bc"]
