@@ -15,16 +15,33 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
-    return (where or _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lexweave-"))).rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where that is unset, a folder in the warehouse, or on a single machine one of our own."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        return _OWN.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="lexweave-"))
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the folder that driver and executors share and read again: an end to its lineage that lost executors don't undo."""
-    ship(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/lexweave/{label}-{uuid.uuid4().hex}"
+    """df, written to the shared folder and read again: an end to its lineage that lost executors don't undo. sweep() deletes what is there."""
+    spark = df.sparkSession
+    ship(spark)
+    path = f"{shared_dir(spark)}/lexweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that saved() has kept for this application. DataFrames that were made from it can't be used any more."""
+    delete(spark, f"{shared_dir(spark)}/lexweave/{spark.sparkContext.applicationId}")
 
 
 def write(tables: dict[str, DataFrame], path: str) -> None:
