@@ -86,7 +86,8 @@ SELECT page_id, host, path, CASE {rule} END AS rule,
 
 def _op4_sql() -> str:
     lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
-    token = licenses.TOKEN
+    words, run = licenses.TOKEN.replace(r"\x40\x5B-", ""), licenses.RUN
+    listed = lambda w: "[" + ", ".join(f"'{x}'" for x in w) + "]"
     places = []
     for p in licenses.PHRASES:
         parts = p.split(" ")
@@ -95,16 +96,19 @@ def _op4_sql() -> str:
     base = ", ".join(f"CASE WHEN len(a{i}) > 0 THEN '{x}' END" for i, x in enumerate(licenses.PHRASES.values()))
     every = "flatten([" + ", ".join(f"a{i}" for i in range(len(places))) + "])"
     tests = []
-    for name, text in licenses.TEMPLATES.items():
-        words = licenses.tokens_of(text)
-        listed = "[" + ", ".join(f"'{w}'" for w in words) + "]"
-        tests.append(f"SELECT doc_id, '{name}' AS label, len(list_intersect(b, {listed})) / CAST({len(words)} AS DOUBLE) AS share FROM blocks WHERE len(list_intersect(b, {listed})) >= {-(-len(words) * 4 // 5)}")
+    for name, t in licenses.TEMPLATES.items():
+        own = licenses.tokens_of(t.text)
+        told = f"len(list_intersect(b, {listed(own)})) >= {licenses.need_of(len(own))} AND len(list_intersect(b, {listed(t.must.split())})) = {len(t.must.split())}"
+        told += f" AND len(list_intersect(b, {listed(t.without.split())})) = 0" if t.without else ""
+        tests.append(f"SELECT doc_id, '{name}' AS label, len(list_intersect(b, {listed(own)})) / CAST({len(own)} AS DOUBLE) AS share FROM blocks WHERE {told}")
     return f"""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), {lower}) AS x FROM documents),
-words AS (SELECT doc_id, x, regexp_extract_all(x, '{token}') AS w FROM t),
+words AS (SELECT doc_id, regexp_extract_all(x, '{words}') AS w FROM t),
 found AS (SELECT doc_id, len(w) AS n_words, {", ".join(f"{p} AS a{i}" for i, p in enumerate(places))} FROM words),
 base AS (SELECT doc_id, n_words, {every} AS places, list_filter([{base}], lambda l: l IS NOT NULL) AS found FROM found),
-lines AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM t WHERE regexp_matches(x, 'licen|copyright|redistribution|permission|waived')),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{token}')) AS b FROM lines),
+paragraphs AS (SELECT doc_id, regexp_extract_all(p, '{words}') AS w FROM (SELECT doc_id, unnest(string_split_regex(x, '{licenses.BLANK}')) AS p FROM t)),
+blocks AS MATERIALIZED (
+  SELECT doc_id, list_distinct(w) AS b FROM paragraphs WHERE len(w) <= {2 * run}
+  UNION ALL SELECT doc_id, list_distinct(w[i + 1:i + {2 * run}]) FROM (SELECT doc_id, w, unnest(range(0, len(w) - {run}, {run})) AS i FROM paragraphs WHERE len(w) > {2 * run})),
 hits AS ({" UNION ALL ".join(tests)}),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS best FROM hits GROUP BY doc_id)
 SELECT base.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,

@@ -23,13 +23,16 @@ def brute(text):
         places += at
         labels |= {label} if at else set()
     more, best = set(), 0.0
-    for line in low.split("\n"):
-        held = set(re.findall(token, line))
-        for name, t in licenses.TEMPLATES.items():
-            own = set(t.split())
-            if len(held & own) >= ceil(0.8 * len(own) - 1e-9):
-                more.add(name)
-                best = max(best, len(held & own) / len(own))
+    for paragraph in re.split(licenses.BLANK, low):
+        pw = re.findall(token, paragraph)
+        run = licenses.RUN
+        blocks = [pw] if len(pw) <= 2 * run else [pw[i : i + 2 * run] for i in range(0, len(pw) - run, run)]
+        for held in map(set, blocks):
+            for name, t in licenses.TEMPLATES.items():
+                own = set(t.text.split())
+                if len(held & own) >= ceil(0.8 * len(own) - 1e-9) and set(t.must.split()) <= held and not set(t.without.split()) & held:
+                    more.add(name)
+                    best = max(best, len(held & own) / len(own))
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | more)), 1.0 if labels else best
 
 
@@ -39,6 +42,35 @@ def test_against_brute_force(spark):
     assert got == {i: brute(t) for i, t in enumerate(TEXTS)}
 
 
+SIBLINGS = {
+    "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",
+    "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+    "Released under the BSD license": "bsd-notice",
+    "released under the Apache License": "apache,apache-notice",
+    "Licensed under the GNU Lesser General Public License": "lgpl-notice",
+    "Licensed under the GNU General Public License": "gpl,gpl-notice",
+    "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 3 of the License, or (at your option) any later version.": "lgpl-notice,lgpl-or-later",
+    """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice""": "mit-grant,mit-permission",
+}
+
+
+def test_siblings_are_told_apart(spark):
+    docs = spark.createDataFrame(list(enumerate(SIBLINGS)), "doc_id long, text string")
+    assert [r.labels for r in licenses.scan(docs).orderBy("doc_id").collect()] == list(SIBLINGS.values())
+
+
+def test_main_path_is_native(spark):
+    plan = licenses.tokenised(odd(spark))._jdf.queryExecution().toString() + licenses.scan(odd(spark))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 def test_odd_rows_and_empty_table(spark):
     assert licenses.scan(odd(spark)).count() == odd(spark).count()
     assert licenses.scan(none(spark)).count() == 0
