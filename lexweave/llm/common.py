@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave import ship
+from lexweave.sources.bundle import delete, saved, shared_dir
+
+__all__ = ["WORD", "delete", "fast_lower", "looked_up", "lower_ascii", "saved", "shared_dir", "slices", "small_or_not", "table"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 """A word: a run of anything but ASCII white space."""
@@ -33,28 +34,6 @@ def fast_lower(col: Column) -> Column:
     return F.when(col.contains("\u212a") | col.contains("\u0130"), lower_ascii(col)).otherwise(F.lower(col))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lexweave-")
-        spark.conf.set("spark.checkpoint.dir", where) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        where = _OWN.setdefault(spark.sparkContext.applicationId, where)
-    return where.rstrip("/")
-
-
-_OWN: dict[str, str] = {}
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage, survives lost executors and is computed once."""
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/lexweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batch, column: str, most: int = 8 << 20, rows: int = 2500) -> Iterator:
     """An Arrow batch in parts of so many bytes or list items in the column (one row at least), and of so many rows."""
     values = batch.column(column)
@@ -72,6 +51,11 @@ def small_or_not(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.limit(max_rows + 1).groupBy().count().where(F.col("count") <= max_rows).take(1)) else df
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", max_rows: int = 1_000_000) -> DataFrame:
-    """docs whose key is not in dropped; rows with a null key stay."""
-    return docs.join(small_or_not(dropped.select(key).distinct(), max_rows), key, "left_anti").select(docs.columns)
+def looked_up(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: int, most: int = 1000) -> DataFrame:
+    """rows joined with lookup, which has each key once and how many rows it has at most of total.
+
+    Keys that may hold 1/most of all rows or more, `most` at most, are broadcast, so no task gets all rows of a hot key.
+    """
+    hot = F.col(count) >= max(2, -(-total // most))
+    few = rows.join(F.broadcast(lookup.where(hot).select(key)), key, "left_anti").join(lookup.where(~hot), key)
+    return few.unionByName(rows.join(F.broadcast(lookup.where(hot)), key))
