@@ -15,7 +15,7 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def brute(rows, threshold=85):
     """doc_id: (n_shingles, component_id)."""
     sets = {i: shingle_set(t) for i, t in rows if i is not None}
     up = {i: i for i in sets}
@@ -30,7 +30,7 @@ def brute(rows):
         for b in ids:
             if a < b and sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
-                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                if 100 * both >= threshold * (len(sets[a]) + len(sets[b]) - both):
                     x, y = root(a), root(b)
                     up[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -53,7 +53,7 @@ def corpus(seed=0, groups=25):
     return rows
 
 
-@pytest.mark.parametrize("block", [400_000, 600])
+@pytest.mark.parametrize("block", [50_000, 600])
 def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
     rows = corpus(block)
@@ -88,3 +88,33 @@ def test_empty_table_and_chains(spark):
 def test_hash_tells_shingles_apart():
     a, b = neardup.shingles("a b c d e f"), neardup.shingles("a b c d f e")
     assert len(a) == 2 and not np.array_equal(a, b) and np.array_equal(neardup.shingles("A  b\nC d e f"), a)
+
+
+def test_groups_of_many_blocks_with_members_apart(spark, monkeypatch):
+    """Chains and outsiders within one group: no link may be lost when only some of its blocks meet."""
+    monkeypatch.setattr(neardup, "BLOCK", 300)
+    rng, base, rows = random.Random(5), words(60, 70).split(), []
+    for i in range(160):
+        w = list(base)
+        for j in range(rng.choice([0, 1, 1, 2, 2, 3, 9])):
+            w[(7 * i + 13 * j) % 60] = words(1, i * 31 + j)
+        rows.append((i + 1, " ".join(w)))
+    for threshold in (85, 80):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()}
+        assert got == brute(rows, threshold)
+
+
+def test_bounds():
+    assert neardup.sure(85) == 54 and neardup.needed(85) == 36 and neardup.needed(80) < 36
+    from math import comb
+
+    assert sum(comb(64, m) * 0.85**m * 0.15 ** (64 - m) for m in range(neardup.needed(85))) <= neardup.LOSS
+
+
+def test_a_repeated_id_keeps_its_other_text(spark):
+    copy, other = words(30, 1), words(30, 2)
+    docs = clashing(spark.createDataFrame([(5, copy), (6, copy + " x"), (6, other), (8, None)], "doc_id long, text string"), "_id", "_key", "row", "n")
+    kept = neardup.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(5, copy), (6, other), (8, "")]
+    found = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()}
+    assert found == {(5, 26): (5, True), (6, 27): (5, False), (6, 26): (6, True), (8, 0): (8, True)}
