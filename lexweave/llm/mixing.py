@@ -9,7 +9,8 @@ so no task sorts a whole group.
 
 Edge cases: a null text has size 0 and is never repeated or taken (taken 0); a null source is a source of its own, ordered
 last. Rows that repeat an id are ranked next to each other. A source without words has target 0. An empty table gives no
-rows. Columns named like new ones are replaced.
+rows. Very long texts only count by their size. Columns named like new ones are replaced in mix(); mixture() gives the caller's
+columns back as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lexweave import ship
 from lexweave.llm.common import WORD, saved
 
 WEIGHTS = (5, 2, 1)
@@ -31,25 +33,39 @@ RESIDUE = 1 << 16
 SALTS = 1024
 
 
+def size_of(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    return docs.withColumn("size", size_of("text"))
+
+
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows with their place in the order, from 0, without sorting all of them in one task."""
+    parts = saved(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    counts = sorted((r._part, r.n) for r in parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+    before = rows.sparkSession.createDataFrame([(p, sum(n for q, n in counts if q < p)) for p, _ in counts], "_part int, _before long")
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
     """sources: (source, source_size), each once. Adds target: min(epochs * size, level * weight), the level being such that targets add up to all sizes.
 
-    A window over the sources finds the level: sources with the least room for their weight are full first.
+    The level rises in rounds: what full sources can't take goes to the weight of the open ones, until no more become full.
     """
-    every = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(every) - 1, F.lit(len(weights))) + 1).cast("int"))
-    out = sources.withColumn("_w", weight.cast("double")).withColumn("_room", epochs * F.col("source_size"))
-    by_room = W.orderBy(F.col("_room") / F.col("_w"), F.col("source").asc_nulls_last())
-    before, after, whole = by_room.rowsBetween(W.unboundedPreceding, -1), by_room.rowsBetween(0, W.unboundedFollowing), by_room.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    left = F.sum("source_size").over(whole) - F.coalesce(F.sum("_room").over(before), F.lit(0))
-    out = out.withColumn("_level", left / F.sum("_w").over(after))
-    out = out.withColumn("_open", F.col("_level") * F.col("_w") < F.col("_room"))
-    level = F.first(F.when(F.col("_open"), F.col("_level")), ignorenulls=True).over(whole)
-    return out.withColumn("_final", level).withColumn("target", F.coalesce(F.least(F.col("_room").cast("double"), F.col("_final") * F.col("_w")), F.col("_room").cast("double"))).drop("_w", "_room", "_level", "_open", "_final")
+    own = numbered(sources, "_at", F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("_at", F.lit(len(weights))) + 1).cast("int")).cast("double")
+    own = saved(own.withColumns({"_w": weight, "_room": (epochs * F.col("source_size")).cast("double")}).drop("_at"), "sources")
+    total, level, full = own.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        shut = F.col("_room") <= level * F.col("_w")
+        n, room, open_weight = own.agg(F.count_if(shut), F.coalesce(F.sum(F.when(shut, F.col("_room"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~shut, F.col("_w"))), F.lit(0.0))).first()
+        if n == full or not open_weight:
+            break
+        full, level = n, (total - room) / open_weight
+    return own.withColumn("target", F.least("_room", level * F.col("_w"))).drop("_w", "_room")
 
 
 def subset_sum(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -113,23 +129,28 @@ def plan(docs: DataFrame) -> DataFrame:
     return rows.groupBy("key").applyInPandas(_fit_source, "key string, size long, n long, source_size long, target double, base int, extra long")
 
 
+NEW = ("source_size", "target", "copies", "taken")
+
+
 def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     """docs (with size, from sized()) with source_size, target, copies and taken."""
+    ship(docs.sparkSession)
     order = F.xxhash64(F.lit(seed), "doc_id")
-    own = docs.withColumns({"_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "_o": order, "_salt": F.shiftrightunsigned(order, 54).cast("int")})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW])
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    own = docs.select(row.alias("row"), F.col("doc_id").alias("id"), key.alias("key"), "size", order.alias("o"), F.shiftrightunsigned(order, 54).cast("int").alias("salt"))
     made = saved(plan(docs.select("source", "size")), "mix-plan")
-    made = made.withColumnRenamed("key", "_key")
-    counted = own.groupBy("_key", "size", "_salt").agg(F.count(F.lit(1)).alias("_m"))
-    before = F.sum("_m").over(W.partitionBy("_key", "size").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1))
-    first = counted.join(made, ["_key", "size"]).withColumn("_first", F.coalesce(before, F.lit(0))).select("_key", "size", "_salt", "source_size", "target", "base", "extra", "_first")
-    own = own.withColumn("_rank", F.row_number().over(W.partitionBy("_key", "size", "_salt").orderBy("_o", "doc_id")))
-    own = own.drop("source_size", "target", "base", "extra", "copies", "taken").join(first, ["_key", "size", "_salt"])
-    copies = F.col("base") + F.when(F.col("_first") + F.col("_rank") <= F.col("extra"), 1).otherwise(0)
+    counted = own.groupBy("key", "size", "salt").agg(F.count(F.lit(1)).alias("m"))
+    before = F.sum("m").over(W.partitionBy("key", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
+    first = counted.join(made, ["key", "size"]).withColumn("first", F.coalesce(before, F.lit(0))).select("key", "size", "salt", "source_size", "target", "base", "extra", "first")
+    own = own.withColumn("rank", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy("o", "id"))).join(first, ["key", "size", "salt"])
+    copies = F.col("base") + F.when(F.col("first") + F.col("rank") <= F.col("extra"), 1).otherwise(0)
     out = own.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.select(*docs.columns, "source_size", "target", "copies", "taken")
+    return out.select("row.*", *NEW)
 
 
 def mixture(docs: DataFrame) -> DataFrame:
     """The mix itself: docs repeated as often as it takes them, documents of no words left out."""
-    mixed = mix(sized(docs))
-    return mixed.where("copies > 0").withColumn("_", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = mix(docs.select(row.alias("document"), "doc_id", "source", size_of("text").alias("size")))
+    return mixed.where("copies > 0").withColumn("_", F.explode(F.sequence(F.lit(1), "copies"))).select("document.*")

@@ -3,11 +3,13 @@
 A document becomes a fixed row of statistics of its whole text. Cosines of seeded random projections of the standardised
 statistics approximate a Gaussian kernel. Every partition sums its share of the normal equations, a few tasks add those
 sums up, and the driver solves one system of RANK unknowns. Scores are calibrated by isotonic regression on counts in
-score bins. Everything that reaches the driver has a size fixed by the parameters; all labelled rows are used.
+score bins, of labelled rows that the system left out (one in CALIBRATE; all of them where there are none). Everything that
+reaches the driver has a size fixed by the parameters; all labelled rows are used.
 
 Edge cases: null and empty texts have the statistics of an empty text and get a score like others. Rows of labels that
 repeat a doc_id count once (the largest label); null labels don't count. Without any labelled row all scores are 0.5.
-Equal texts get equal scores. An empty table gives an empty result.
+Equal texts get equal scores. Very long texts take memory in proportion to one text. An empty table gives an empty result. Other
+columns stay as they are in keep_good(), whatever their names, and are left out of classify().
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave import ship
 from lexweave.llm.common import saved
 
 RANK, GAMMA, RIDGE, BINS, SEED = 192, 0.01, 1.0, 512, 3
-FOLDS, FOLD = 5, 0
+FOLDS, FOLD, CALIBRATE = 5, 0, 5
 CUT = 0.3
 _CLASS = np.full(256, 6, np.uint8)  # other: bytes of characters beyond ASCII
 for _k, _s in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c\n", b".,;:?'\"-", b"!#$%&*+/<=>@[\\]^_`{|}~()")):
@@ -123,7 +126,7 @@ def _summed(rows: DataFrame, model: Model, parts: int = 16) -> np.ndarray:
 
 
 def fit(rows: DataFrame) -> Model:
-    """rows: (stats, y) with y 0 or 1."""
+    """rows: (stats, y, later) with y 0 or 1; those with later only calibrate."""
     d = len(NAMES)
     cols = [F.element_at("stats", i + 1) for i in range(d)]
     moments = rows.agg(*[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols], F.count(F.lit(1))).first()
@@ -131,7 +134,9 @@ def fit(rows: DataFrame) -> Model:
     model = Model(mean, np.where(scale > 1e-9, scale, 1.0), np.zeros(RANK + 1), np.array([0.0]), np.array([0.5]))
     if not moments[2 * d]:
         return model
-    a = _summed(rows, model)
+    early, later = rows.where("not later"), rows.where("later")
+    early, later = early if early.take(1) else rows, later if later.take(1) else rows
+    a = _summed(early, model)
     ridge = RIDGE * np.eye(RANK + 1)
     ridge[-1, -1] = 1e-9
     model.weights = np.linalg.solve(a[:, :-1] + ridge, a[:, -1])
@@ -144,7 +149,7 @@ def fit(rows: DataFrame) -> Model:
                 np.add.at(hist, (at, b["y"].to_numpy(int)), 1)
         yield pd.DataFrame({"bin": np.arange(BINS), "no": hist[:, 0], "yes": hist[:, 1]})[hist.sum(axis=1) > 0]
 
-    bins = rows.mapInPandas(binned, "bin int, no double, yes double").groupBy("bin").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).orderBy("bin").toPandas()
+    bins = later.mapInPandas(binned, "bin int, no double, yes double").groupBy("bin").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).orderBy("bin").toPandas()
     n = (bins["no"] + bins["yes"]).to_numpy()
     model.steps = (bins["bin"].to_numpy() + 0.5) * 2 / BINS - 0.5
     model.values = isotonic(bins["yes"].to_numpy() / n, n)
@@ -163,7 +168,8 @@ def labelled(labels: DataFrame, column: str, folds: int, fold: int) -> DataFrame
 
 def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """documents: (doc_id, stats)."""
-    return documents.join(labelled(labels, "quality", FOLDS, FOLD), "doc_id").select("stats", "y")
+    later = F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(CALIBRATE)) == 0
+    return documents.join(labelled(labels, "quality", FOLDS, FOLD), "doc_id").select("stats", "y", later.alias("later"))
 
 
 def scored(stats_col: Column, model: Model) -> Column:
@@ -178,19 +184,20 @@ def scored(stats_col: Column, model: Model) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text). Texts are read once."""
+    ship(docs.sparkSession)
     own = saved(docs.select("doc_id", stats(F.col("text")).alias("stats")), "quality-stats")
     model = fit(saved(training_rows(own, labels), "quality-rows"))
     out = own.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), scored(F.col("stats"), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
-def keep_good(docs: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those whose score is below CUT; the model is fitted on documents and labels. No shuffle of texts."""
-    text_stats = documents.select("doc_id", stats(F.col("text")).alias("stats"))
-    model = fit(saved(training_rows(text_stats, labels), "quality-rows"))
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without those whose score is below CUT; the model is fitted on the labelled ones among docs.
 
-    @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(model.score(_rows(s)), dtype=float)
-
-    return docs.where(run(F.col("text")) >= CUT)
+    Statistics are taken once and kept beside the rows, so no text is shuffled.
+    """
+    ship(docs.sparkSession)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = saved(docs.select(row.alias("row"), "doc_id", stats(F.col("text")).alias("stats")), "quality-stats")
+    model = fit(saved(training_rows(own.select("doc_id", "stats"), labels), "quality-rows"))
+    return own.where(scored(F.col("stats"), model) >= CUT).select("row.*")

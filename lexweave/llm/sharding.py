@@ -8,7 +8,8 @@ dealt to shards in order and rows are exchanged once, by interval; a row's slot
 Law: bytes (shards differ by the tolerance, or by one document where that is larger). Edge cases: a null text has size 1,
 a null id is hashed as such. Rows equal in id and text share an interval and get neighbouring slots in any order. An empty
 table gives no rows. A group of copies, however large, is split by id. Columns named like new ones are replaced. Nothing
-but interval counts reaches the driver (some thousands, whatever the number of rows).
+but interval counts reaches the driver: some thousands, and beyond a thousand times SORTED rows some for each SORTED of them.
+Very long texts only count by their size and hash.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import Window as W
 
 STEPS = (12, 20, 28, 36, 44, 52, 60, 64)
 """Key bits that the counting passes tell apart: of the first key, then of the second."""
-PROBES = 64
-"""Intervals a shard has at least; each is one sort task's share at most."""
+PROBES, SORTED = 64, 1 << 18
+"""Intervals a shard has at least, and rows that one interval, and so one sort task, has about at most."""
 TOLERANCE = 0.001
 KEYS = ("_h", "_g")
 
@@ -55,13 +56,13 @@ def intervals(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
             part = rows.withColumns({"_o1": o1, "_o2": o2}).join(F.broadcast(wanted), ["_o1", "_o2"], "left_semi")
         found = part.groupBy(p1.alias("p1"), p2.alias("p2")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()
         every = sorted(done + [{"depth": depth, "at": _start(depth, r.p1, r.p2), **r.asDict()} for r in found], key=lambda x: x["at"])
-        total = sum(x["size"] for x in every)
-        before, largest, fine = 0, total / (shards * PROBES), tolerance * total / shards
+        total, n = (sum(x[k] for x in every) for k in ("size", "n"))
+        before, largest, fine = 0, total / max(shards * PROBES, n / SORTED), tolerance * total / shards
         probed, done = [], []
         for x in every:
             cut = before * shards // total != (before + x["size"]) * shards // total
             before += x["size"]
-            more = x["depth"] == depth < last and x["n"] > 1 and (x["size"] > largest or (cut and x["size"] > fine))
+            more = x["depth"] == depth < last and x["n"] > 1 and (x["size"] > largest or x["n"] > SORTED or (cut and x["size"] > fine))
             (probed if more else done).append(x)
         depth += 1
     return done
@@ -90,7 +91,7 @@ def deal(rows: DataFrame, shards: int = 16, tolerance: float = TOLERANCE) -> Dat
         out = out.withColumns({"_p1": p1, "_p2": p2}).join(F.broadcast(part), ["_p1", "_p2"], "left").drop("_p1", "_p2")
         cell = F.coalesce(cell, F.col(f"_cell{depth}"))
     out = out.withColumn("_cell", cell).drop(*[f"_cell{d}" for d in known])
-    rank = F.row_number().over(W.partitionBy("_cell.cell").orderBy(*KEYS, "doc_id"))
+    rank = F.row_number().over(W.partitionBy("_cell.cell").orderBy(*[F.col(k).bitwiseXOR(F.lit(-(1 << 63))) for k in KEYS], "doc_id"))  # as unsigned numbers
     out = out.withColumns({"law": F.lit("bytes"), "shard": F.col("_cell.shard"), "slot": F.col("_cell.first") + rank - 1, "grown_shard": F.lit(None).cast("int")})
     return out.drop("_cell", *KEYS)
 

@@ -4,10 +4,12 @@ Features of a whole text are the distinct hashes of its words, of their stems (f
 words and of words with one between them. Up to SHARDS tasks learn from about SHARD_ROWS labelled rows each, with a rate per
 coordinate and L1 sparsity; the mean of their weights (some thousands) is the model that scoring broadcasts.
 
-At most MAX_ROWS labelled rows are learnt from (about; chosen by a hash of doc_id), so training tasks are bounded.
+At most MAX_ROWS labelled rows are learnt from (about; chosen by a hash of doc_id), and tasks get their features only, so
+training is bounded in rows, and in bytes by the distinct features of that many texts.
 Edge cases: null and empty texts have no feature and get the score of the bias. Rows of labels that repeat a doc_id count
 once (the largest label); null labels don't count. Without any labelled row all scores are 0.5. Equal texts get equal
-scores. An empty table gives an empty result.
+scores. Very long texts take memory in proportion to one text. An empty table gives an empty result. Other columns, whatever
+their names, are left out.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave import ship
 from lexweave.llm.quality import held_out, labelled
 
 FOLDS, FOLD = 4, 2
@@ -58,10 +61,9 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(_mix(np.concatenate([w * a, s * b, w[:-1] * b + w[1:] * c, w[:-2] * c + w[2:] * a]))).astype(np.int64)
 
 
-def train(texts: list[str | None], y: np.ndarray, epochs: int = EPOCHS) -> dict[int, float]:
-    """Non-zero weights after some passes, -1 being the bias."""
+def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> dict[int, float]:
+    """Non-zero weights after some passes over rows of features, -1 being the bias."""
     z, n, bias, bias_n = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
-    rows = [features(t) for t in texts]
 
     def weights(zi, ni):
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
@@ -81,6 +83,13 @@ def train(texts: list[str | None], y: np.ndarray, epochs: int = EPOCHS) -> dict[
     return {-1: bias} | dict(zip(at.tolist(), w[at].tolist()))
 
 
+def learnt(part: pd.DataFrame) -> dict[int, float]:
+    """Weights of one shard's rows (doc_id, features, y)."""
+    part = part.sort_values(["doc_id", "features"])  # an order that is the same in every run, then shuffled
+    part = part.iloc[np.random.default_rng(29).permutation(len(part))]
+    return train([np.frombuffer(x, np.int32) for x in part["features"]], part["y"].to_numpy(float))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Indexes and weights of the features that count, and the bias."""
     own = labelled(labels, "toxic", FOLDS, FOLD)
@@ -90,10 +99,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
     shards = min(SHARDS, max(1, -(-n // SHARD_ROWS)))
     rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").withColumn("shard", F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(shards)))
 
+    @F.pandas_udf("binary")
+    def made_of(s: pd.Series) -> pd.Series:
+        return pd.Series([features(t).astype(np.int32).tobytes() for t in s], dtype=object)
+
+    rows = rows.select("doc_id", "y", "shard", made_of("text").alias("features"))
+
     def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "text"])  # an order that is the same in every run, then shuffled
-        part = part.iloc[np.random.default_rng(29).permutation(len(part))]
-        w = train(list(part["text"]), part["y"].to_numpy(float))
+        w = learnt(part)
         return pd.DataFrame({"at": list(w.keys()), "w": list(w.values())})
 
     made = rows.groupBy("shard").applyInPandas(learn, "at long, w double")
@@ -125,6 +138,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Colu
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text)."""
+    ship(docs.sparkSession)
     model = fit(docs, labels)
     out = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id"), FOLDS, FOLD), F.lit(False)).alias("held_out"), scored(docs, model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

@@ -3,7 +3,8 @@
 The cascade's odd levels encode listed keys, its even levels the false positives that the level before has among the
 corpus's other keys (and, in turn, among the listed ones), until few or none are left or the levels have run out; what is
 left is kept as it is, dealt out by hash. For every key of the corpus membership is therefore exact, and judging a url needs
-neither join nor shuffle: a few array reads inside code generation.
+neither join nor shuffle: a few array reads inside code generation. More than MAX_LISTED listed keys are dealt by hash to several
+cascades, each of which judges the urls of its own keys; pages are then kept by the same hash, so each is still read once.
 
 Edge cases: a null url or one without "://" has empty host and path, and the key ''. Repeated urls get equal verdicts.
 An empty table gives an empty result. Columns beside the url are kept, those named like new ones are replaced.
@@ -11,7 +12,9 @@ An empty table gives an empty result. Columns beside the url are kept, those nam
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +24,8 @@ from lexweave.llm.common import lower_ascii, saved
 
 #: verdict, host, path prefix
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-MAX_LISTED = 1 << 20
-"""Listed keys up to which the cascade is built and sent to all executors (10 bits a key and level at most); beyond, keys are joined."""
+MAX_LISTED = 1 << 22
+"""Listed keys of one cascade, about; it is sent to all executors with some 12 bits for each of them, 6 MB at most."""
 FEW = 64
 """Keys that are kept as they are rather than encoded in one more level."""
 
@@ -109,14 +112,18 @@ def judge_urls(pages: DataFrame, universe: DataFrame, rules: Sequence[tuple[str,
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     universe = saved(universe.select("key", "listed"), "url-keys")
     key = url_key(F.col("host"), F.col("path"))
-    if universe.where("listed").count() <= max_listed:
-        listed = Cascade.build(universe).contains(key)
-    else:
-        names = universe.where("listed").select(F.col("key").alias("_key"), F.lit(True).alias("_listed"))
-        out = out.withColumn("_key", key).join(names, "_key", "left")
-        listed = F.coalesce("_listed", F.lit(False))
-    out = out.withColumns({"rule": name, "verdict": F.coalesce(verdict, F.when(listed, F.lit("block")).otherwise(F.lit("allow")))})
-    return out.drop("_key", "_listed")
+    shards = max(1, ceil(universe.where("listed").count() / max_listed))
+
+    def judged(some: DataFrame, keys: DataFrame) -> DataFrame:
+        listed = Cascade.build(keys).contains(key)
+        return some.withColumns({"rule": name, "verdict": F.coalesce(verdict, F.when(listed, F.lit("block")).otherwise(F.lit("allow")))})
+
+    if shards == 1:
+        return judged(out, universe)
+    at, of = f"shard_{uuid.uuid4().hex}", lambda k: F.pmod(F.xxhash64(F.lit(99), k), F.lit(shards)).cast("int")
+    dealt = saved(out.withColumn(at, of(key)), "url-pages", at)
+    parts = [judged(dealt.where(F.col(at) == i), universe.where(of(F.col("key")) == i)).drop(at) for i in range(shards)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def tracking_keys(pages: DataFrame, url: str = "url", share: float = 0.15) -> DataFrame:

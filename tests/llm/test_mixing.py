@@ -76,3 +76,26 @@ def test_empty_table_and_mixture(spark):
     assert mixing.mix(mixing.sized(none(spark))).count() == 0
     made = mixing.mixture(odd(spark))
     assert made.columns == odd(spark).columns
+
+
+def test_mixture_gives_clashing_columns_back(spark):
+    docs = clashing(odd(spark), "size", "target", "taken", "copies", "_key", "_rank", "_first", "rank", "document")
+    made = mixing.mixture(docs)
+    assert made.columns == docs.columns
+    rows = made.collect()
+    assert rows and all(r[c] == "x" for r in rows for c in docs.columns[5:])
+    counts: dict = {}
+    for r in rows:
+        counts[r.doc_id, r.text] = counts.get((r.doc_id, r.text), 0) + 1
+    want: dict = {}
+    for r in mixing.mix(mixing.sized(odd(spark))).collect():
+        want[r.doc_id, r.text] = want.get((r.doc_id, r.text), 0) + r.copies
+    assert counts == {k: n for k, n in want.items() if n}
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{i:04d}": (i * 7919) % 1000 for i in range(300)} | {None: 77}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)

@@ -46,3 +46,27 @@ def test_query_columns(spark, tmp_path):
     rows = QUERIES["op7_sharding"](spark, str(tmp_path)).collect()
     texts = {r.doc_id: r.text or "" for r in odd(spark).collect()}
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows) and len(rows) == odd(spark).count()
+
+
+def test_against_a_sort_of_all_keys(spark, monkeypatch):
+    """Shards are runs of the sorted keys that end within the tolerance of the exact bytes; slots count within them."""
+    monkeypatch.setattr(sharding, "SORTED", 50)
+    rows = [(i, words(10, 1) if i % 3 == 0 else words(1 + i % 50, i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r.doc_id: (r._h % 2**64, r._g % 2**64, r.size) for r in sharding.keyed(df).collect()}
+    made = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(df, 8).collect()}
+    order = sorted(keys, key=lambda i: (*keys[i][:2], i))
+    assert [made[i] for i in order] == sorted(made.values())
+    total, largest = sum(k[2] for k in keys.values()), max(k[2] for k in keys.values())
+    at, last = 0, 0
+    for i in order:
+        for k in range(last + 1, made[i][0] + 1):
+            assert abs(at - k * total / 8) <= 0.002 * total / 8 + largest
+        last, at = made[i][0], at + keys[i][2]
+    assert max(sum(1 for _ in sharding.intervals(sharding.keyed(df), 8)), 1) >= 3000 / 50
+
+
+def test_main_path_is_native(spark):
+    import re
+
+    assert not re.search("Python|Pandas|Arrow", sharding.shard(odd(spark), 4)._jdf.queryExecution().toString())
