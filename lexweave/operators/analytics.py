@@ -33,7 +33,20 @@ def report(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.median(n).alias("median_chars"), F.max(n).alias("max_chars"))
 
 
+# Results depend on exactly these words.
+OVERLAP_STOPWORDS = (
+    "the", "and", "for", "any", "all", "not", "but", "with", "that", "this", "such", "shall", "may", "his", "her", "its", "been", "have", "has", "was", "were", "are", "is", "be", "of", "in", "to", "on", "by", "or", "as",
+    "at", "from", "under", "which", "who", "whom", "whose", "where", "when", "what", "act", "section", "sub", "clause", "provided", "provision", "person", "state", "government",
+)
+# End of the fixed values.
+
+
+def content_words(text: Column) -> Column:
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*OVERLAP_STOPWORDS)))
+
+
 def overlap(query: Column, gold: Column) -> Column:
     """Share of the query's distinct content words that gold has; 1 for a query without."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))
-    return F.when(F.size(words(query)) == 0, 1.0).otherwise(F.size(F.array_intersect(words(query), words(gold))) / F.size(words(query)))
+    q, g = content_words(query), content_words(gold)
+    return F.when(F.size(q) == 0, 1.0).otherwise(F.size(F.array_intersect(q, g)) / F.size(q))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,3 +115,37 @@ def reranked(candidates: DataFrame, texts: DataFrame, queries: DataFrame, score:
     """candidates (query_id, id) that have a text, by score: an expression over query and text, such as a pandas UDF."""
     own = candidates.join(texts.select("id", "text"), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     return top(own.withColumn("score", score), k)
+
+
+def search(texts: DataFrame, queries: DataFrame, k: int, where: Column | str | None = None) -> DataFrame:
+    """The k best of the texts (id, text and what the filter needs) that the filter lets through; terms are weighed over all texts."""
+    index = build(texts.select("id", "text"))
+    found = scores(index, queries)
+    if where is not None:
+        found = found.join(texts.where(where).select("id"), "id", "left_semi")
+    return top(found, k)
+
+
+Seeder = Callable[[DataFrame, int], DataFrame]
+"""Gives (query_id, id, rank) of the k best nodes for queries (query_id, text)."""
+
+
+def lexical_seeder(index: Index) -> Seeder:
+    return lambda queries, k: top(scores(index, queries), k).select("query_id", "id", "rank")
+
+
+def hybrid_seeder(index: Index, vectors: DataFrame, embed: Callable[[Column], Column]) -> Seeder:
+    """Words and vectors (id, vector), three times k of each, fused by rank. embed must be what made the vectors."""
+
+    def run(queries: DataFrame, k: int) -> DataFrame:
+        sparse = top(scores(index, queries), 3 * k)
+        dense = vector_top(vectors, queries.select("query_id", embed(F.col("text")).alias("vector")), 3 * k)
+        both = fused(*(r.select("query_id", "id", "rank", F.lit(n).alias("source")) for r, n in ((dense, "dense"), (sparse, "sparse"))))
+        return top(both, k).select("query_id", "id", "rank")
+
+    return run
+
+
+def rerank_seeder(seeder: Seeder, texts: DataFrame, score: Column, wider: int = 4) -> Seeder:
+    """The best by score (over query and text) of `wider` times k seeds; seeds without a text are dropped."""
+    return lambda queries, k: reranked(seeder(queries, k * wider).select("query_id", "id"), texts, queries, score, k).select("query_id", "id", "rank")

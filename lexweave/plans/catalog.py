@@ -10,7 +10,6 @@ from lexweave import ship
 from lexweave.functions import pack
 from lexweave.functions.text import STOPWORDS, normalized, rendered, token_estimate, tokens
 from lexweave.operators import analytics, conflict, edges, graph, lexicon, parse, retrieval, sections
-from lexweave.plans import ask
 from lexweave.sources import bundle, statute
 
 QUERIES: dict = {}
@@ -45,7 +44,7 @@ def seeds(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node_id").alias("query_id"), "node_id")
 
 
-S_SEEDS = "seeds AS (SELECT node_id AS query_id, node_id FROM s WHERE ok % 97 = 1 AND ln % 4 = 2)"
+S_SEEDS = "seeds AS (SELECT node_id AS query_id, node_id FROM s)"
 S_REACH = S_SEEDS + """,
 hop AS (SELECT query_id, node_id, 0 AS hops FROM seeds UNION SELECT hop.query_id, steps.to_id, hop.hops + 1 FROM hop JOIN steps ON steps.from_id = hop.node_id WHERE hop.hops < 40),
 reach AS (SELECT query_id, node_id, min(hops) AS hops FROM hop GROUP BY query_id, node_id)"""
@@ -53,9 +52,9 @@ ORACLE_TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9\\-'
 D_INDEX = f"""tf AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({ORACLE_TOKENS.format("text")}) AS term FROM documents) GROUP BY 1, 2),
 idf AS (SELECT term, count(*) AS df, ln(1 + (SELECT greatest(count(DISTINCT id), 1) FROM tf) / CAST(1 + count(*) AS DOUBLE)) AS idf FROM tf GROUP BY term),
 norm AS (SELECT id, sqrt(sum(pow(tf * idf, 2))) AS norm FROM tf JOIN idf USING (term) GROUP BY id),
-q AS (SELECT item_id AS query_id, unnest(list_distinct({ORACLE_TOKENS.format("text")})) AS term FROM benchmark WHERE item_id < 20),
+q AS (SELECT item_id AS query_id, unnest(list_distinct({ORACLE_TOKENS.format("text")})) AS term FROM benchmark),
 scored AS (SELECT query_id, id, round(sum(tf * idf * idf) / any_value(norm), 9) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN norm USING (id) GROUP BY query_id, id)"""
-D_VECTOR = """qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 20),
+D_VECTOR = """qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
 vscored AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(v, CAST(embedding AS DOUBLE[])), 9) AS score FROM qv, embeddings)"""
 
 
@@ -233,7 +232,7 @@ def definition_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.terms(statute.nodes(spark, sf_dir)).select("term_id", "definition_id", "scope_id", "surface", "definition_kind")
 
 
-S_MENTIONS = "t AS (SELECT doc_id, node_id, p FROM s WHERE ln % 4 = 3 AND ok % 7 = 0), u AS (SELECT doc_id, node_id, p FROM s WHERE ln % 4 = 3)"
+S_MENTIONS = "t AS MATERIALIZED (SELECT doc_id, node_id, p FROM s WHERE ln % 4 = 3 AND ok % 7 = 0), u AS MATERIALIZED (SELECT doc_id, node_id, p FROM s WHERE ln % 4 = 3)"
 
 
 @query(statute.oracle(S_MENTIONS + " SELECT u.node_id AS src, t.node_id AS dst, 0.8 :: DOUBLE AS confidence FROM u JOIN t ON t.doc_id = u.doc_id AND t.p = u.p WHERE t.node_id <> u.node_id"))
@@ -251,11 +250,15 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statute.nodes(spark, sf_dir).withColumn("section", F.col("section") % 1000 + 1)
 
 
-S_CLAIMS = "c AS (SELECT doc_id, node_id, CAST(section % 1000 + 1 AS VARCHAR) AS section, CASE WHEN ok % 11 = 0 THEN 'document' ELSE 'section' END AS scope, CASE WHEN ok % 11 <> 0 THEN CAST(k % 1000 + 1 AS VARCHAR) END AS target FROM s WHERE ln % 4 = 1)"
+S_CLAIMS = "c AS MATERIALIZED (SELECT doc_id, node_id, CAST(section % 1000 + 1 AS VARCHAR) AS section, CASE WHEN ok % 11 = 0 THEN 'document' ELSE 'section' END AS scope, CASE WHEN ok % 11 <> 0 THEN CAST(k % 1000 + 1 AS VARCHAR) END AS target FROM s WHERE ln % 4 = 1)"
 
 
-@query(statute.oracle(S_CLAIMS + """ SELECT a.doc_id, a.node_id AS a_id, b.node_id AS b_id, 1.0 :: DOUBLE AS confidence FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.node_id < b.node_id
-WHERE (a.scope = 'document' AND a.section <> b.section OR a.target = b.section) AND (b.scope = 'document' AND a.section <> b.section OR b.target = a.section) AND NOT (a.scope = 'document' AND b.scope = 'document')"""))
+# claims that name sections meet crosswise; a claim over the whole document meets those that name its section
+@query(statute.oracle(S_CLAIMS + """,
+named AS MATERIALIZED (SELECT * FROM c WHERE scope = 'section'), w AS MATERIALIZED (SELECT * FROM c WHERE scope = 'document'),
+p AS (SELECT n.doc_id, n.node_id AS x, m.node_id AS y FROM named n JOIN named m ON n.doc_id = m.doc_id AND n.target = m.section AND n.section = m.target WHERE n.node_id < m.node_id
+  UNION SELECT n.doc_id, least(n.node_id, w.node_id), greatest(n.node_id, w.node_id) FROM named n JOIN w ON n.doc_id = w.doc_id AND n.target = w.section WHERE n.section <> w.section)
+SELECT doc_id, x AS a_id, y AS b_id, 1.0 :: DOUBLE AS confidence FROM p"""))
 def override_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflict.mutual(conflict.claims(_numbered(spark, sf_dir))).select("doc_id", "a_id", "b_id", "confidence")
 
@@ -343,7 +346,7 @@ def content_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").groupBy(F.substring(F.sha2("text", 256), 1, 16).alias("content_id")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query("""WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM conversations),
+@query("""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: NOT list_contains([""" + ", ".join(f"'{w}'" for w in analytics.OVERLAP_STOPWORDS) + """], x))) AS w FROM conversations),
 p AS (SELECT a.conv_id, a.turn, a.w AS q, b.w AS g FROM w a JOIN w b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
 SELECT conv_id, turn, CASE WHEN len(q) = 0 THEN 1.0 :: DOUBLE ELSE round(len(list_intersect(q, g)) / CAST(len(q) AS DOUBLE), 6) END AS ratio FROM p""")
 def overlap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,7 +362,7 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("node_id", "normalized", token_estimate(rendered(F.lit("current"), F.lit(""), F.col("normalized"), F.col("raw"))).cast("long").alias("tokens"))
 
 
-@query(statute.oracle("""v AS (SELECT node_id AS root, node_id, 0 AS hops FROM s WHERE ln = 0 AND ok % 29 = 0 UNION SELECT v.root, e.src, v.hops + 1 FROM v JOIN e ON e.dst = v.node_id AND e.type = 'supersedes' WHERE v.hops < 20)
+@query(statute.oracle("""v AS (SELECT node_id AS root, node_id, 0 AS hops FROM s WHERE ln = 0 UNION SELECT v.root, e.src, v.hops + 1 FROM v JOIN e ON e.dst = v.node_id AND e.type = 'supersedes' WHERE v.hops < 20)
 SELECT root AS query_id, node_id, min(hops) AS hops FROM v GROUP BY root, node_id"""))
 def version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = bundle.saved(statute_nodes(spark, sf_dir), "nodes")
@@ -384,16 +387,3 @@ def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = statute.nodes(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["raw"]), "\n\n").cast("binary").alias("content"))
     made = parse.nodes(bundle.saved(parse.units(texts), "units"))
     return made.select("doc_id", F.col("seq").alias("n"), "kind", "unit", "raw", F.regexp_extract("parent_id", r":(\d+)$", 1).cast("long").alias("parent"))
-
-
-@query()
-def ask_statute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flagship(spark, sf_dir)
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions over the statute: TF-IDF seeds, closure, context, assembled text and verdict."""
-    nodes = bundle.saved(statute_nodes(spark, sf_dir), "nodes")
-    made = bundle.saved(statute_edges(spark, sf_dir, nodes), "edges")
-    asked = nodes.where("ln = 0").select(F.col("node_id").alias("query_id"), F.col("raw").alias("text"))
-    return ask.run(nodes.withColumn("text", F.col("raw")), made, asked)

@@ -36,17 +36,17 @@ def oracle(rest: str) -> str:
     """SQL over s (nodes) and e (edges in closed form: part_of, exception_of, supersedes, conditioned_on)."""
     own = SECTIONS.replace("{string}", "VARCHAR").replace("{lineitem}", "lineitem").replace("\ns AS (", "\ns0 AS (")
     return f"""WITH RECURSIVE {own},
-s AS (SELECT * FROM s0 WHERE k IS NOT NULL),
+s AS MATERIALIZED (SELECT * FROM s0 WHERE k IS NOT NULL),
 sib0 AS (SELECT *, doc_id || ':' || CAST(section * 10 AS VARCHAR) AS heading, last_value(CASE WHEN ln % 4 <> 0 THEN node_id END IGNORE NULLS) OVER (PARTITION BY doc_id, section ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM s WHERE kind = 'proposition'),
 sib1 AS (SELECT *, CASE WHEN ln % 4 = 0 THEN coalesce(above, heading) ELSE heading END AS parent_id FROM sib0),
-sib AS (SELECT *, lag(node_id) OVER w AS prev_id, lead(node_id) OVER w AS next_id FROM sib1 WINDOW w AS (PARTITION BY doc_id, parent_id ORDER BY seq)),
+sib AS MATERIALIZED (SELECT *, lag(node_id) OVER w AS prev_id, lead(node_id) OVER w AS next_id FROM sib1 WINDOW w AS (PARTITION BY doc_id, parent_id ORDER BY seq)),
 e0 AS (
   SELECT node_id AS src, parent_id AS dst, 'part_of' AS type, 'parser' AS origin FROM sib
   UNION ALL SELECT node_id, coalesce(prev_id, parent_id), CASE WHEN ln % 4 = 0 THEN 'exception_of' ELSE 'part_of' END, 'unit' FROM sib
   UNION ALL SELECT node_id, coalesce(prev_id, parent_id), 'exception_of', 'marker' FROM sib WHERE ln % 4 = 0
   UNION ALL SELECT node_id, doc_id || ':' || CAST(k * 10 AS VARCHAR), CASE WHEN ln % 4 = 1 THEN 'supersedes' ELSE 'conditioned_on' END, 'marker' FROM sib WHERE ln % 4 = 2 OR ln % 4 = 1 AND ok % 11 <> 0),
-e AS (SELECT DISTINCT src, dst, type FROM e0),
-steps AS (
+e AS MATERIALIZED (SELECT DISTINCT src, dst, type FROM e0),
+steps AS MATERIALIZED (
   SELECT dst AS from_id, src AS to_id, type FROM e WHERE type IN ('exception_of', 'supersedes')
   UNION ALL SELECT src, dst, type FROM e WHERE type = 'conditioned_on'){"" if rest.lstrip().startswith("SELECT") or not rest else ","}
 {rest}"""

@@ -6,11 +6,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from lexweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-TABLES = ("lineitem", "orders", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-SOME = ("tokenize_df", "tfidf_search_topk", "vector_topk", "nesting_parent", "marker_counts", "edge_dedupe", "closure_hops", "override_conflicts", "mention_links", "section_windows", "parse_documents", "normalize_text", "chain_p95", "overlap_ratio")
+TABLES = ("lineitem", "orders", "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events")
 
 
 def plain(frame):
@@ -22,7 +22,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -33,4 +33,5 @@ def test_oracle(spark, name):
 
 def test_flagship(spark):
     rows = entry.entry(spark).collect()
-    assert rows and all(r.sound and r.violations == 0 and r.context for r in rows)
+    assert rows and all(r.sound and r.violations == 0 and bool(r.context) == (r.n_seeds > 0) for r in rows)
+    assert any(r.n_conflicts for r in rows) and any("[= " in (r.context or "") for r in rows)
