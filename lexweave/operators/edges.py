@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,6 @@ from pyspark.sql import Window as W
 from lexweave.functions import pack
 
 
-
 def in_order():
     return W.partitionBy("doc_id").orderBy("seq")
 
@@ -80,6 +80,7 @@ def _word_of(pattern: str) -> str:
     return "|".join(w for k, w in words.items() if k in flat)
 
 
+_MARKERS = {m.name: pack.python(m.pattern) for m in pack.MARKERS}
 _SECTION, _SUBSECTION, _FOREIGN, _BREAK = (pack.python(p) for p in (pack.SECTION_REF, pack.SUBSECTION_REF, pack.FOREIGN_REF, pack.BREAK))
 
 
@@ -124,11 +125,15 @@ def marker_edges(nodes: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     near = hits.where("target != 'referenced'").withColumn("to", F.when(F.col("target") == "following", F.col("next_id")).otherwise(F.coalesce("prev_id", "parent_id")))
 
     @F.pandas_udf("array<struct<ref:string,section:string>>")
-    def cited(raw: pd.Series, span: pd.Series, side: pd.Series) -> pd.Series:
-        return pd.Series([[{"ref": r, "section": s} for r, s in references(t, t.find(x), t.find(x) + len(x), k)] for t, x, k in zip(raw, span, side)], dtype=object)
+    def cited(raw: pd.Series, marker: pd.Series, side: pd.Series) -> pd.Series:
+        out = []
+        for text, name, where in zip(raw, marker, side):
+            m = _MARKERS[name].search(text)
+            out.append([{"ref": r, "section": s} for r, s in references(text, m.start(), m.end(), where)] if m else [])
+        return pd.Series(out, dtype=object)
 
     heads = heads if heads is not None else headings(nodes)
-    far = hits.where("target = 'referenced'").withColumn("cite", F.explode(cited("raw", "span", "side")))
+    far = hits.where("target = 'referenced'").withColumn("cite", F.explode(cited("raw", "marker", "side")))
     far = far.withColumns({"number": F.regexp_extract("cite.ref", ":(.*)", 1), "sub": F.col("cite.ref").startswith("sub:")})
     whole = far.where("not sub").join(heads, ["doc_id", "number"]).withColumn("to", F.col("heading_id"))
     enumerated = nodes.withColumn("number", F.upper(F.regexp_extract("raw", r"^\s*\(\s*(\d{1,3}[A-Za-z]?)\s*\)", 1))).where("number != '' and section_id is not null")
