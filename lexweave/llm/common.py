@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import string
 from collections.abc import Iterator
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from lexweave import ship
 from lexweave.sources.bundle import delete, saved, shared_dir
 
-__all__ = ["WORD", "delete", "fast_lower", "looked_up", "lower_ascii", "saved", "shared_dir", "slices", "small_or_not", "table"]
+__all__ = ["WORD", "delete", "fast_lower", "looked_up", "lower_ascii", "release", "saved", "shared_dir", "slices", "small_or_not", "table"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 """A word: a run of anything but ASCII white space."""
@@ -46,6 +48,13 @@ def slices(batch, column: str, most: int = 8 << 20, rows: int = 2500) -> Iterato
         at = to
 
 
+def release() -> None:
+    """Gives what a Python worker has freed back to the system: it stays alive between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another libc than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small_or_not(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it counts at most max_rows (narrow) rows; beyond that Spark shuffles both sides."""
     return F.broadcast(df) if len(df.limit(max_rows + 1).groupBy().count().where(F.col("count") <= max_rows).take(1)) else df

@@ -66,10 +66,9 @@ class DigestIndex:
 
     def append(self, classes: DataFrame) -> None:
         """Adds classes (digest, keep_id, group_size), each digest once."""
-        new = saved(self.unknown(classes), "digests-new")  # a table can't be read while it is appended to
-        again = classes.join(self.table().select("digest").hint("merge"), "digest", "left_semi") if self.table().take(1) else None
-        if again is not None:
-            self._write("again", again)
+        new = self.unknown(classes)
+        if self.table().take(1):
+            self._write("again", classes.join(self.table().select("digest").hint("merge"), "digest", "left_semi"))
         self._write("known", new)
 
     def _write(self, part: str, classes: DataFrame) -> None:
@@ -123,7 +122,8 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """docs without the rows of which another row with the same text stays; of rows that repeat a doc_id and its text one stays."""
-    verdicts = saved(dedup(docs, index), "verdicts")
+    verdicts = dedup(docs, index)
+    verdicts = verdicts if index is None else saved(verdicts, "verdicts")  # without an index, dedup() has kept them
     gone = verdicts.where("not kept").select("doc_id", "digest").distinct()
     twice = verdicts.where("kept").groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
     at = "at_" + uuid.uuid4().hex  # a name that the caller's columns don't have

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexweave import ship
-from lexweave.llm.common import WORD, saved
+from lexweave.llm.common import WORD, saved, small_or_not
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -132,25 +132,58 @@ def plan(docs: DataFrame) -> DataFrame:
 NEW = ("source_size", "target", "copies", "taken")
 
 
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+
+
+def _placed(own: DataFrame, made: DataFrame) -> DataFrame:
+    """own (key, size, id, o, ...) with the plan's columns and place: a row's rank within its key and size, by o and id, from 1.
+
+    Ranks within a 1024th of a key and size come from a window, what comes before it from counts.
+    """
+    own = own.withColumn("salt", F.shiftrightunsigned("o", 54).cast("int"))
+    counted = own.groupBy("key", "size", "salt").agg(F.count(F.lit(1)).alias("m"))
+    before = F.sum("m").over(W.partitionBy("key", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
+    first = counted.join(made, ["key", "size"]).withColumn("first", F.coalesce(before, F.lit(0))).drop("m", "n")
+    ranked = own.withColumn("rank", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy("o", "id")))
+    return ranked.join(first, ["key", "size", "salt"]).withColumn("place", F.col("first") + F.col("rank")).drop("salt", "rank", "first")
+
+
 def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     """docs (with size, from sized()) with source_size, target, copies and taken."""
     ship(docs.sparkSession)
-    order = F.xxhash64(F.lit(seed), "doc_id")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW])
-    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    own = docs.select(row.alias("row"), F.col("doc_id").alias("id"), key.alias("key"), "size", order.alias("o"), F.shiftrightunsigned(order, 54).cast("int").alias("salt"))
-    made = saved(plan(docs.select("source", "size")), "mix-plan")
-    counted = own.groupBy("key", "size", "salt").agg(F.count(F.lit(1)).alias("m"))
-    before = F.sum("m").over(W.partitionBy("key", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
-    first = counted.join(made, ["key", "size"]).withColumn("first", F.coalesce(before, F.lit(0))).select("key", "size", "salt", "source_size", "target", "base", "extra", "first")
-    own = own.withColumn("rank", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy("o", "id"))).join(first, ["key", "size", "salt"])
-    copies = F.col("base") + F.when(F.col("first") + F.col("rank") <= F.col("extra"), 1).otherwise(0)
-    out = own.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.select("row.*", *NEW)
+    own = docs.select(row.alias("row"), F.col("doc_id").alias("id"), _key().alias("key"), "size", F.xxhash64(F.lit(seed), "doc_id").alias("o"))
+    own = _placed(own, saved(plan(docs.select("source", "size")), "mix-plan"))
+    copies = F.col("base") + F.when(F.col("place") <= F.col("extra"), 1).otherwise(0)
+    return own.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).select("row.*", *NEW)
+
 
+def mixture(docs: DataFrame, seed: int = 11) -> DataFrame:
+    """The mix itself: docs repeated as often as it takes them, documents of no words left out.
 
-def mixture(docs: DataFrame) -> DataFrame:
-    """The mix itself: docs repeated as often as it takes them, documents of no words left out."""
+    Texts aren't shuffled: ranks are found on ids and sizes, and what a row is compared with is the last id that gets one more copy, which
+    is a row for each source and length. Where rows that repeat an id stand on both sides of that, their ranks decide.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    slim = saved(docs.select("doc_id", "source", size_of("text").alias("size")), "mix-sizes")
+    made = saved(plan(slim), "mix-plan")
+    placed = _placed(slim.select(F.col("doc_id").alias("id"), _key().alias("key"), "size", F.xxhash64(F.lit(seed), "doc_id").alias("o")), made)
+    ends = saved(placed.where("place in (extra, extra + 1)").select("key", "size", "id", "o", (F.col("place") > F.col("extra")).alias("next")), "mix-ends")
+    last = ends.where("not next").select("key", "size", F.col("id").alias("last_id"), F.col("o").alias("last_o"))
+    after = ends.where("next").select("key", "size", F.col("id").alias("next_id"), F.col("o").alias("next_o"))
+    cut = made.join(last, ["key", "size"], "left").join(after, ["key", "size"], "left")
+    split = F.coalesce((F.col("extra") > 0) & F.col("last_id").eqNullSafe(F.col("next_id")) & (F.col("last_o") == F.col("next_o")), F.lit(False))
+    cut = saved(cut.select("key", "size", "base", "extra", "last_id", "last_o", split.alias("split")), "mix-cuts")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    mixed = mix(docs.select(row.alias("document"), "doc_id", "source", size_of("text").alias("size")))
-    return mixed.where("copies > 0").withColumn("_", F.explode(F.sequence(F.lit(1), "copies"))).select("document.*")
+    own = docs.select(row.alias("document"), F.col("doc_id").alias("id"), _key().alias("key"), size_of("text").alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("o"))
+    met = own.join(small_or_not(cut.where("not split"), 500_000), ["key", "size"])
+    unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  the order that _placed() has
+    more = (unsigned("o") < unsigned("last_o")) | ((F.col("o") == F.col("last_o")) & F.coalesce(F.col("id") <= F.col("last_id"), F.col("id").isNull()))
+    copies = F.col("base") + F.when((F.col("extra") > 0) & more, 1).otherwise(0)
+    out = met.select("document", copies.alias("copies"))
+    if cut.where("split").take(1):
+        some = _placed(own.join(small_or_not(cut.where("split").select("key", "size"), 500_000), ["key", "size"], "left_semi"), made)
+        out = out.unionByName(some.select("document", (F.col("base") + F.when(F.col("place") <= F.col("extra"), 1).otherwise(0)).alias("copies")))
+    return out.where("copies > 0").withColumn("_", F.explode(F.sequence(F.lit(1), "copies"))).select("document.*")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave import ship
-from lexweave.llm.common import looked_up, saved, slices, small_or_not
+from lexweave.llm.common import looked_up, release, saved, slices, small_or_not
 
 K = 64
 THRESHOLD = 85
@@ -103,12 +103,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n, mark (equal for equal sets), sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for b in batches for part in slices(b, "text")):
+        for b in (part for b in batches for part in slices(b, "text", 2 << 20)):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             mark = [_mark(s) for s in sets]
             kept = [s[:K].view(np.int64) for s in sets]
             made = [b.column("doc_id").cast(pa.int64()), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(mark, pa.string()), pa.array(kept, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(made, ["doc_id", "text_key", "n", "mark", "sketch"])
+        release()
 
     return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(sketch, "doc_id long, text_key long, n long, mark string, sketch array<long>")
 
@@ -207,6 +208,7 @@ def _links(rows: pd.DataFrame, threshold: int) -> pd.DataFrame:
         before = {i: links.root(i) for i in links.up}
         _compare(ids, [[np.frombuffer(s, np.uint64) for s in x["shingles"]] for x in sides], links, threshold)
         found += [(i, r) for i in links.up if (r := links.root(i)) != before[i]]
+    release()
     return pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
 
 
@@ -244,9 +246,10 @@ def shingled(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """id, shingles of the classes in ids."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for b in batches for part in slices(b, "text")):
+        for b in (part for b in batches for part in slices(b, "text", 2 << 20)):
             made = [shingles(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([_mark(s) for s in made], pa.string()), pa.array([s.tobytes() for s in made], pa.binary())], ["doc_id", "mark", "shingles"])
+        release()
 
     wanted = saved(classes.join(small_or_not(ids.select("id").distinct(), 1_000_000), "id", "left_semi").select("id", "doc_id", "mark"), "near-wanted")
     texts = docs.select("doc_id", "text").join(small_or_not(wanted.select("doc_id").distinct(), 1_000_000), "doc_id", "left_semi")

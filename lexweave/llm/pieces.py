@@ -21,6 +21,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lexweave import ship
-from lexweave.llm.common import slices
+from lexweave.llm.common import release, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-SLICE = 4 << 20
+SLICE = 3 << 19
 """Bytes of text that are encoded at once (one document at least); decoding takes a quarter of it, as it needs a number for each byte."""
-CACHE = 48 << 20
+CACHE = 24 << 20
 """Bytes of words with their ids, and of piece pairs, that a worker remembers between slices, about."""
 
 
@@ -102,7 +103,7 @@ def merged(chars: str, scores: dict[str, float]) -> list[str]:
 
 class Encoder:
     def __init__(self, model: Pieces):
-        self.model, self.apart, self.known, self.held = model, {}, {}, 0
+        self.model, self.apart, self.recent, self.older, self.held = model, {}, {}, {}, 0
         self.cuts = np.zeros(256, bool)
         self.cuts[list(model.cuts())] = True
         self.longest = max(map(len, model.ids), default=1)
@@ -206,17 +207,18 @@ class Encoder:
         kind = (pa.string(), np.int32) if len(raw) < 1 << 31 else (pa.large_string(), np.int64)
         words = pa.Array.from_buffers(kind[0], len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype(kind[1])), pa.py_buffer(raw)]).dictionary_encode()
         names, number = words.dictionary.to_pylist(), words.indices.to_numpy()
-        known = self.known
-        made = self.learn(w.replace(" ", MARK) for w in names if w not in known)
-        ids = [known.get(w) or made[w.replace(" ", MARK)] for w in names]
-        new = [(w, i) for w, i in zip(names, ids) if w not in known]
-        self.held += sum(180 + len(w) + 16 * len(i) for w, i in new)
-        if self.held > CACHE:  # words that come again stay known: those of the last slice
-            known.clear()
-            new, self.held = list(zip(names, ids)), 0
-        known.update(new)
+        recent, older = self.recent, self.older
+        lacking = [w for w in names if w not in recent]
+        marks = {w: w.replace(" ", MARK) for w in lacking if w not in older}
+        made = self.learn(marks.values())
+        for w in lacking:
+            recent[w] = found = made[marks[w]] if w in marks else older[w]
+            self.held += 180 + len(w) + 8 * len(found)
+        ids = list(map(recent.__getitem__, names))
+        if self.held > CACHE // 2:  # words that come again stay known: those seen since the last change of generation
+            self.older, self.recent, self.held = recent, {}, 0
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.int32, int(length.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))
         first, n = (np.cumsum(length) - length)[number], length[number]
         values = gathered(flat, first, n)
         return values, np.concatenate(([0], np.cumsum(n)))[np.searchsorted(at, start)]
@@ -239,7 +241,11 @@ def marked(texts: pa.Array, prefix: bool) -> tuple[np.ndarray, np.ndarray]:
 def gathered(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The runs values[first : first + n], one after the other."""
     done = np.cumsum(n)
-    return values[np.repeat(first - done + n, n) + np.arange(done[-1] if len(done) else 0)]
+    total = int(done[-1]) if len(done) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((first - done + n).astype(kind), n)
+    at += np.arange(total, dtype=kind)
+    return values[at]
 
 
 class Decoder:
@@ -301,6 +307,7 @@ def encode(docs: DataFrame, model: Pieces | None = None, text: str = "text", ids
                 lists = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(values), mask=pa.array(null))
                 more = [pa.array(same(texts, values, start, decoder), pa.bool_(), mask=null)] if check else []
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists, pa.array(np.diff(start), pa.int64(), mask=null), *more], [*keep, ids, "n_tokens", *["round_trip"] * check])
+            release()
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"`{ids}` array<int>", "n_tokens bigint", *["round_trip boolean"] * check])

@@ -99,3 +99,14 @@ def test_targets_of_many_sources(spark):
     got = {r.source: r.target for r in mixing.targets(df).collect()}
     want = brute_targets(sizes)
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_mixture_equals_the_mix_where_ids_repeat(spark):
+    """Rows that repeat an id on both sides of a cut, null ids, and texts of one length only."""
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 17 == 0 else int(rng.integers(0, 60)), " ".join(["w"] * int(rng.integers(1, 4))), "en", "abc"[i % 3] if i % 5 else None, i % 2) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    made = mixing.mixture(df).groupBy("doc_id", "source", "text").count().collect()
+    want = mixing.mix(mixing.sized(df)).where("copies > 0").groupBy("doc_id", "source", "text").agg({"copies": "sum"}).collect()
+    assert {tuple(r)[:3]: r["count"] for r in made} == {tuple(r)[:3]: r["sum(copies)"] for r in want}
+    assert "Exchange hashpartitioning(document" not in mixing.mixture(df)._jdf.queryExecution().toString()

@@ -55,3 +55,31 @@ def test_viterbi_finds_the_best_score():
     model = pieces.Pieces("unigram", ["a", "b", "ab", "abc", "c", "bc", "▁"], {"a": -1, "b": -1.1, "ab": -1.5, "abc": -4, "c": -1.2, "bc": -1.4, "▁": -0.5}, {p: i for i, p in enumerate(["a", "b", "ab", "abc", "c", "bc", "▁"])})
     values, _ = pieces.Encoder(model).encode(pa.array(["abc"]))
     assert [model.names[i] for i in values] == ["▁", "a", "bc"]
+
+
+def test_unigram_ids_equal_the_librarys(tmp_path):
+    """A model written by hand (no training): pieces with scores, byte fallback, the identity normalizer."""
+    import math
+    import random
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    rng = random.Random(3)
+    letters = "abcdef▁é"
+    names = list(dict.fromkeys([*letters, *("▁" * rng.randint(0, 1) + "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 5))) for _ in range(150))]))
+    m = sentencepiece_model_pb2.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.unk_id = 1, True, 0
+    m.normalizer_spec.name, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.add_dummy_prefix = "identity", False, True
+    for name, kind in [("<unk>", 2), ("<s>", 3), ("</s>", 3), *((f"<0x{b:02X}>", 6) for b in range(256))]:
+        m.pieces.add(piece=name, score=0.0, type=kind)
+    for name in names:
+        m.pieces.add(piece=name, score=-len(name) ** 0.5 * 3 - rng.random() * math.pi, type=1)
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    model, library = pieces.Pieces.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["", "abc def", " ".join("".join(rng.choice("abcdefé") for _ in range(rng.randint(1, 30))) for _ in range(300)), "aXb 北 é"]
+    values, start = pieces.Encoder(model).encode(pa.array(texts))
+    for t, a, b, back in zip(texts, start, start[1:], pieces.Decoder(model).decode(values, start)):
+        assert values[a:b].tolist() == library.encode(t) and back == t
