@@ -40,3 +40,13 @@ def clusters(claimed: DataFrame) -> DataFrame:
     """Documents with two or more document-wide claims in two or more sections."""
     own = claimed.where("scope = 'document'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_claims"), F.count_distinct(F.coalesce("section", F.lit("-"))).alias("n_sections"))
     return own.where("n_claims >= 2 and n_sections >= 2").withColumn("confidence", F.lit(0.5))
+
+
+def report(conflicts: DataFrame, most: int = 10) -> DataFrame:
+    """doc_id, shown (the first pairs, "a / b"), more (how many are not shown)."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("a_id", "b_id"))
+    own = conflicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    first = conflicts.withColumn("place", place).where(F.col("place") <= most).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(" / ", "a_id", "b_id").alias("pair")))).alias("p"))
+    return own.join(first, "doc_id").select("doc_id", F.transform("p", lambda x: x["pair"]).alias("shown"), F.greatest(F.lit(0), F.col("n") - most).alias("more"))

@@ -148,3 +148,19 @@ def circular(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     reached, _ = graph.closure(first, walk.withColumn("max_hops", F.lit(None).cast("int")), nodes)
     back = reached.where("query_id = node_id").select(F.col("node_id").alias("subject_id")).distinct()
     return back.join(nodes.select(F.col("node_id").alias("subject_id"), "doc_id"), "subject_id").select(F.lit("circular").alias("finding"), "subject_id", "doc_id")
+
+
+def section_order(number: Column) -> list[Column]:
+    """Sort keys for section numbers: 2 before 10, 10 before 10A."""
+    return [F.regexp_extract(number, r"^(\d+)", 1).cast("long"), F.upper(F.regexp_extract(number, r"^\d+(.*)$", 1))]
+
+
+def without_titles(sections: DataFrame, title: Column | str = "title") -> DataFrame:
+    """sections (doc_id, seq, text, title): text without a first line that repeats the document's title, but for the first section."""
+    from pyspark.sql import Window as W
+
+    title = F.col(title) if isinstance(title, str) else title
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("seq")) == 1
+    head = F.trim(F.regexp_extract("text", r"^([^\n]*)", 1))
+    rest = F.regexp_replace("text", r"^[^\n]*\n?\s*", "")
+    return sections.withColumn("_first", first).withColumn("text", F.when(~F.col("_first") & (head == F.trim(title)), rest).otherwise(F.col("text"))).drop("_first")

@@ -149,3 +149,19 @@ def hybrid_seeder(index: Index, vectors: DataFrame, embed: Callable[[Column], Co
 def rerank_seeder(seeder: Seeder, texts: DataFrame, score: Column, wider: int = 4) -> Seeder:
     """The best by score (over query and text) of `wider` times k seeds; seeds without a text are dropped."""
     return lambda queries, k: reranked(seeder(queries, k * wider).select("query_id", "id"), texts, queries, score, k).select("query_id", "id", "rank")
+
+
+MODES = ("lexical", "hybrid", "hybrid-rerank")
+
+
+def seeder_of(mode: str, texts: DataFrame, vectors: DataFrame | None = None, embed: Callable[[Column], Column] | None = None, score: Column | None = None) -> Seeder:
+    """A seeder by the name of its mode. texts and vectors: (id, text), (id, vector)."""
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} is none of {', '.join(MODES)}")
+    index = build(texts)
+    if mode == "lexical":
+        return lexical_seeder(index)
+    if vectors is None or not vectors.take(1):
+        raise ValueError(f"{mode} needs vectors; embed first")
+    hybrid = hybrid_seeder(index, vectors, embed)
+    return hybrid if mode == "hybrid" else rerank_seeder(hybrid, texts, score)

@@ -40,3 +40,12 @@ def ingest(spark: SparkSession, path: str, out: str) -> dict[str, DataFrame]:
     made = bundle.read(spark, out, *TABLES)
     bundle.write({"manifest": bundle.manifest(*(made[n] for n in ("documents", "nodes", "terms", "edges")))}, out)
     return bundle.read(spark, out, *TABLES, "manifest")
+
+
+def summary(made: dict[str, DataFrame], warnings: DataFrame | None = None) -> DataFrame:
+    """One row: documents, pending, nodes, terms, edges, closure_edges, warnings."""
+    one = made["documents"].agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("review_state") == "pending").alias("pending"))
+    for name in ("nodes", "terms"):
+        one = one.crossJoin(F.broadcast(made[name].agg(F.count(F.lit(1)).alias(name))))  # a row each
+    one = one.crossJoin(F.broadcast(made["edges"].agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("class") == "closure").alias("closure_edges"))))
+    return one.crossJoin(F.broadcast(warnings.agg(F.count(F.lit(1)).alias("warnings")))) if warnings is not None else one.withColumn("warnings", F.lit(0).cast("long"))

@@ -64,4 +64,4 @@ def test_duplicates_keep_the_most_confident(spark):
 )
 def test_evidence(window, span, verdict, reason):
     got = sections.check_evidence(window, span)
-    assert (got[0], got[2]) == (verdict, reason) and (got[1] is None or got[1] in window)
+    assert (got["verdict"], got["reason"]) == (verdict, reason) and (got["span"] is None or window[got["start"] : got["end"]] == got["span"])
