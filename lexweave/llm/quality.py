@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave import ship
-from lexweave.llm.common import saved
+from lexweave.llm.common import saved, small_or_not
 
 RANK, GAMMA, RIDGE, BINS, SEED = 192, 0.01, 1.0, 512, 3
 FOLDS, FOLD, CALIBRATE = 5, 0, 5
@@ -166,10 +166,11 @@ def labelled(labels: DataFrame, column: str, folds: int, fold: int) -> DataFrame
     return own.groupBy("doc_id").agg(F.max((F.col(column) > 0).cast("int")).alias("y"))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents: (doc_id, stats)."""
+def training_rows(documents: DataFrame, labels: DataFrame, rows: Column) -> DataFrame:
+    """stats, y, later of the labelled ones of documents (doc_id, ...); rows: their statistics, taken of those only."""
     later = F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(CALIBRATE)) == 0
-    return documents.join(labelled(labels, "quality", FOLDS, FOLD), "doc_id").select("stats", "y", later.alias("later"))
+    own = small_or_not(labelled(labels, "quality", FOLDS, FOLD), 1_000_000)
+    return documents.join(own, "doc_id").select(rows.alias("stats"), "y", later.alias("later"))
 
 
 def scored(stats_col: Column, model: Model) -> Column:
@@ -186,7 +187,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text). Texts are read once."""
     ship(docs.sparkSession)
     own = saved(docs.select("doc_id", stats(F.col("text")).alias("stats")), "quality-stats")
-    model = fit(saved(training_rows(own, labels), "quality-rows"))
+    model = fit(saved(training_rows(own, labels, F.col("stats")), "quality-rows"))
     out = own.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), scored(F.col("stats"), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
@@ -194,10 +195,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those whose score is below CUT; the model is fitted on the labelled ones among docs.
 
-    Statistics are taken once and kept beside the rows, so no text is shuffled.
+    Statistics are taken of the labelled texts first, then of all; neither is kept, and no text is shuffled while a million labels
+    or fewer are there.
     """
     ship(docs.sparkSession)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    own = saved(docs.select(row.alias("row"), "doc_id", stats(F.col("text")).alias("stats")), "quality-stats")
-    model = fit(saved(training_rows(own.select("doc_id", "stats"), labels), "quality-rows"))
-    return own.where(scored(F.col("stats"), model) >= CUT).select("row.*")
+    model = fit(saved(training_rows(docs.select("doc_id", "text"), labels, stats(F.col("text"))), "quality-rows"))
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_rows(s)), dtype=float)
+
+    return docs.where(run(F.col("text")) >= CUT)
