@@ -27,10 +27,12 @@ def get_sections(nodes: DataFrame, ids: DataFrame) -> DataFrame:
 def neighbors(edges: DataFrame, ids: DataFrame, types: tuple[str, ...] | None = None, direction: str = "both") -> DataFrame:
     """node_id, neighbor_id, type, direction (out, in) of the edges of ids."""
     own = edges if types is None else edges.where(F.col("type").isin(*types))
-    out = own.select(F.col("src").alias("node_id"), F.col("dst").alias("neighbor_id"), "type", F.lit("out").alias("direction"))
-    in_ = own.select(F.col("dst").alias("node_id"), F.col("src").alias("neighbor_id"), "type", F.lit("in").alias("direction"))
-    every = {"out": out, "in": in_, "both": out.unionByName(in_)}[direction]
-    return every.join(ids.select("node_id").distinct(), "node_id", "left_semi")
+    end = lambda at, to, name: F.struct(F.col(at).alias("node_id"), F.col(to).alias("neighbor_id"), "type", F.lit(name).alias("direction"))
+    ends = {"out": [end("src", "dst", "out")], "in": [end("dst", "src", "in")]}
+    ends["both"] = ends["out"] + ends["in"]
+    # edges are passed over once, whatever they are derived from
+    every = own.select(F.explode(F.array(*ends[direction])).alias("e")).select("e.*")
+    return every.join(ids.select("node_id"), "node_id", "left_semi")
 
 
 def vector_models(vectors: DataFrame) -> DataFrame:
