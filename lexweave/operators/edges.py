@@ -63,22 +63,32 @@ def unit_edges(nodes: DataFrame) -> DataFrame:
 _FOLDED = ("ſıİ\u212a", "siik")
 
 
-def _held(low: str, marker: pack.Marker) -> Column:
+def low(text: Column) -> Column:
+    """text in lower case, for held()."""
+    return F.lower(F.translate(text, *_FOLDED))
+
+
+def held(low: str, marker: pack.Marker) -> Column:
     """Does a text in lower case hold a word that every match of the marker has?"""
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in _word_of(marker.pattern).split("|")])
 
 
+def opened(rows: DataFrame, array: Column, name: str) -> DataFrame:
+    """rows, each repeated with one element of an array. explode() alone would have arrays made twice, as Spark filters by their size first."""
+    return rows.withColumn(name, F.explode_outer(array)).where(F.col(name).isNotNull())
+
+
 def marker_hits(nodes: DataFrame, markers=pack.MARKERS) -> DataFrame:
     """nodes with a row for each marker that fires: marker, type, target, side, confidence, span."""
-    span = lambda m: F.when(_held("_low", m), F.regexp_extract("raw", m.java, 0)).otherwise("")
+    span = lambda m: F.when(held("_low", m), F.regexp_extract("raw", m.java, 0)).otherwise("")
     hits = [
         F.struct(F.lit(m.name).alias("marker"), F.lit(m.edge).alias("type"), F.lit(m.target).alias("target"), F.lit(m.side).alias("side"), F.lit(m.confidence).alias("confidence"), span(m).alias("span"))
         for m in markers
     ]
-    own = nodes.where(F.col("kind") == "proposition").withColumn("_low", F.lower(F.translate("raw", *_FOLDED)))
-    own = own.where(reduce(lambda a, b: a | b, [_held("_low", m) for m in markers]))
-    found = own.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda h: h["span"] != "")))
-    return found.select(*nodes.columns, "hit.*")
+    own = nodes.where(F.col("kind") == "proposition").withColumn("_low", low(F.col("raw")))
+    words = {w for m in markers for w in _word_of(m.pattern).split("|")}
+    own = own.where(F.col("_low").rlike("|".join(sorted(words))))
+    return opened(own, F.filter(F.array(*hits), lambda h: h["span"] != ""), "hit").select(*nodes.columns, "hit.*")
 
 
 def _word_of(pattern: str) -> str:
@@ -145,7 +155,7 @@ def referenced(hits: DataFrame, nodes: DataFrame, heads: DataFrame | None = None
         return pd.Series(out, dtype=object)
 
     heads = heads if heads is not None else headings(nodes)
-    far = hits.withColumn("cite", F.explode(cited("raw", "marker", "side")))
+    far = opened(hits, cited("raw", "marker", "side"), "cite")
     far = far.select("doc_id", "node_id", "section_id", "marker", "type", "confidence", F.regexp_extract("cite.ref", ":(.*)", 1).alias("number"), F.col("cite.ref").startswith("sub:").alias("sub"), F.col("cite.section").alias("of"))
     far = saved(far, "cited")
     cols = ["doc_id", "node_id", "to", "marker", "type", "confidence"]
@@ -228,11 +238,11 @@ def _found(nodes: DataFrame) -> DataFrame:
         at = next(i for i, k in enumerate(KINDS) if k.prefix == f"struct:{name}:")
         unit = F.when(F.col("raw").rlike(pack.java(pattern, ignore_case)), at).otherwise(unit)
     real = F.col("kind") == "proposition"
-    fits = lambda m: real & _held("_low", m) & F.col("raw").rlike(m.java)
+    fits = lambda m: real & held("_low", m) & F.col("raw").rlike(m.java)
     by_name = {m.name: m for m in pack.MARKERS}
     some = lambda *c: F.array_compact(F.array(*c))
     marks = [F.when(fits(by_name[k.marker]), i) for i, k in enumerate(KINDS) if k.marker]
-    own = nodes.withColumn("_low", F.lower(F.translate("raw", *_FOLDED)))
+    own = nodes.withColumn("_low", low(F.col("raw")))
     own = own.select("doc_id", "node_id", "parent_id", "prev_id", "next_id", "section_id", "raw", some(F.lit(0), F.when(real, unit), *marks).alias("kinds"), some(*[F.when(fits(m), i) for i, m in enumerate(FAR)]).alias("far"))
     return own.withColumn("raw", F.when(F.size("far") > 0, F.col("raw")))
 
@@ -267,6 +277,6 @@ def all_edges(nodes: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
 
     far = found.where("size(far) > 0").select("doc_id", "node_id", "section_id", "raw", F.explode("far").alias("i"))
     far = far.select("doc_id", "node_id", "section_id", "raw", *[of([getattr(m, a) for m in FAR], F.col("i")).alias(name) for name, a in (("marker", "name"), ("type", "edge"), ("side", "side"), ("confidence", "confidence"))])
-    met = edges(own.select("doc_id", "node_id", F.explode("shared").alias("e"))).unionByName(_marked(referenced(far, nodes)))
-    lone = edges(own.select("doc_id", "node_id", F.explode(F.filter("lone", first)).alias("e")))
+    met = edges(opened(own, F.col("shared"), "e")).unionByName(_marked(referenced(far, nodes)))
+    lone = edges(opened(own, F.filter("lone", first), "e"))
     return _classed(lone).unionByName(deduped(met if mentions is None else met.unionByName(mentions)))

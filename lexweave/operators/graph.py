@@ -42,7 +42,7 @@ def steps(edges: DataFrame, class_: str, overrides: dict | None = None) -> DataF
     turn = lambda n, a, b, ways: F.when(F.col("p.direction").isin(*ways), F.struct(F.col(a).alias("from_id"), F.col(b).alias("to_id"), F.lit(n).alias("turn")))
     turns = F.array_compact(F.array(turn(0, "dst", "src", ("reverse", "both")), turn(1, "src", "dst", ("forward", "both"))))
     # edges are passed over once, whatever they are derived from
-    own = own.select("edge_id", "type", "confidence", "p", cross.alias("cross_doc"), F.explode(turns).alias("t"))
+    own = own.select("edge_id", "type", "confidence", "p", cross.alias("cross_doc"), F.explode_outer(turns).alias("t")).where("t is not null")
     return own.select("t.from_id", "t.to_id", "t.turn", "edge_id", "type", "confidence", F.col("p.prior").alias("prior"), F.col("p.max_hops").alias("max_hops"), "cross_doc")
 
 

@@ -33,6 +33,11 @@ def saved(df: DataFrame, label: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows, shuffled by columns to spark.sql.shuffle.partitions tasks. Slim rows that are to grow wide would else be put together to few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.sources.bundle import saved
+from lexweave.sources.bundle import dealt, saved
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node_id, doc_id, seq, kind, raw."""
     sql = "WITH " + nodes_sql("@lineitem", "STRING") + " SELECT doc_id, seq, node_id, 'proposition' AS kind, raw FROM c"
     sql = sql.replace("{", "{{").replace("}", "}}").replace("@lineitem", "{lineitem}")  # spark.sql() formats what is in braces
-    made = spark.sql(sql, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    made = spark.sql(sql, lineitem=dealt(lines, "l_orderkey", "l_linenumber"))
     return saved(made, "clauses")
 
 
@@ -126,7 +127,8 @@ LINES = (
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, content: a text with every kind of line for each order."""
     whole = "\n\n".join(line for _, line in LINES)
-    own = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("ok")).agg(F.min("l_partkey").alias("p"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("ok"), F.col("l_partkey").alias("p"))
+    own = dealt(lines, "ok").groupBy("ok").agg(F.min("p").alias("p"))
     return own.select(F.concat(F.lit("t"), "ok").alias("doc_id"), F.replace(F.lit(whole), F.lit("{p}"), F.col("p").cast("string")).cast("binary").alias("content"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexweave.sources.bundle import saved
+from lexweave.sources.bundle import dealt, saved
 
 SECTIONS = """l AS (SELECT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln, min(l_partkey) AS p FROM {lineitem} GROUP BY l_orderkey, l_linenumber),
 o AS (SELECT DISTINCT ok, CAST((ok - ok % 1000) / 1000 AS BIGINT) AS d FROM l),
@@ -33,7 +33,7 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node_id, doc_id, seq, kind, level, section, raw and the numbers they come from: s of SECTIONS, shuffled once, by document."""
     own = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS ok", "CAST(l_linenumber AS BIGINT) AS ln", "l_partkey AS p", "CAST((l_orderkey - l_orderkey % 1000) / 1000 AS BIGINT) AS d")
     # a window over documents asks for their rows together; groups within documents then need no other shuffle
-    lines = own.where("ok IS NOT NULL").withColumn("doc_id", F.concat(F.lit("d"), "d")).repartition("doc_id").groupBy("doc_id", "d", "ok", "ln").agg(F.min("p").alias("p"))
+    lines = dealt(own.where("ok IS NOT NULL").withColumn("doc_id", F.concat(F.lit("d"), "d")), "doc_id").groupBy("doc_id", "d", "ok", "ln").agg(F.min("p").alias("p"))
     sections = lines.groupBy("doc_id", "d", "ok").agg(F.collect_list(F.struct(F.lit(False).alias("head"), "ln", "p")).alias("lines"))
     w = W.partitionBy("doc_id").orderBy("ok")
     before, after = F.lag("ok").over(w), F.lead("ok").over(w)

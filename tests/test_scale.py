@@ -3,8 +3,8 @@
 import re
 
 from lexweave.functions import pack
-from lexweave.operators import edges, graph
-from lexweave.sources import statute
+from lexweave.operators import edges, evaluate, graph, parse
+from lexweave.sources import clauses, statute
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +42,19 @@ def test_steps_pass_over_their_edges_once(spark):
     walk = graph.steps(own, "context")
     assert "Union" not in _plan(walk)
     assert {(r.from_id, r.to_id, r.turn, r.edge_id) for r in walk.collect()} == {("b", "a", 0, "e"), ("a", "b", 1, "e"), ("a", "b", 1, "f")}
+
+
+def test_marks_are_looked_for_once(spark):
+    units = spark.createDataFrame([("a", 0, "Notwithſtanding anything contained in section 5 of AIR 1998 SC 12 it stands."), ("a", 1, 'Order XI, Rule 4: "it" means so.'), ("a", 2, None)], "doc_id string, unit_no int, unit string")
+    hits = evaluate.unit_hits(units)
+    assert not re.search(r"Filter.*RLIKE", evaluate.mark_counts(hits)._jdf.queryExecution().optimizedPlan().toString())
+    assert [r.mark for r in evaluate.mark_counts(hits).collect()] == ["marker:non_obstante"]
+    assert [(r.defines, r.cites) for r in hits.orderBy("unit_no").collect()] == [(False, True), (True, True), (None, None)]
+
+
+def test_texts_are_spread_and_parsed_without_a_table_each(spark):
+    assert clauses.texts(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parse.physical(" (1) a\r\n\r\n b\nc") == [("(1) a", 1, 6, False, "b"), ("b", 11, 12, True, "c"), ("c", 13, 14, False, "")]
+    files = spark.createDataFrame([("x", "(1) é: Provided that a.\n\nb: provided".encode()), ("y", None), ("z", b"\xff")], "doc_id string, content binary")
+    made = {(r.doc_id, r.seq): (r.damaged, r.unit, r.raw, r.byte_start, r.byte_end) for r in parse.units(files).collect()}
+    assert made == {("x", 0): (False, "subsec", "(1) é", 0, 6), ("x", 1): (False, "proviso", "Provided that a.", 8, 24), ("x", 2): (False, "text", "b: provided", 26, 37), ("y", None): (False, None, None, None, None), ("z", 0): (True, "text", "�", 0, 3)}
