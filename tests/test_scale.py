@@ -58,3 +58,23 @@ def test_texts_are_spread_and_parsed_without_a_table_each(spark):
     files = spark.createDataFrame([("x", "(1) é: Provided that a.\n\nb: provided".encode()), ("y", None), ("z", b"\xff")], "doc_id string, content binary")
     made = {(r.doc_id, r.seq): (r.damaged, r.unit, r.raw, r.byte_start, r.byte_end) for r in parse.units(files).collect()}
     assert made == {("x", 0): (False, "subsec", "(1) é", 0, 6), ("x", 1): (False, "proviso", "Provided that a.", 8, 24), ("x", 2): (False, "text", "b: provided", 26, 37), ("y", None): (False, None, None, None, None), ("z", 0): (True, "text", "�", 0, 3)}
+
+
+def test_gold_spans_meet_texts_by_rare_grams(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    word = lambda: r.choice(["provided that nothing here shall apply to part", "keeps a record of it", "x", "holder of stock", "ab", "prevails"])
+    text = lambda n: " ".join(f"{word()} {r.randint(0, 30)}" for _ in range(n))
+    raws = [text(r.randint(1, 4)) for _ in range(150)]
+    raws = [x for x in raws if len(x) >= 25]
+    golds = [f"{r.choice(raws)} {r.choice(raws)}"[r.randint(0, 20) :] for _ in range(60)] + [r.choice(raws)[5:35] for _ in range(20)] + ["", "x", "ab 1", raws[0]]
+    probe = lambda g, p: len(p) >= 60 and p in g
+    plain = [(i, j) for i, g in enumerate(golds) for j, x in enumerate(raws) if x in g or g in x or probe(g, x[:80]) or probe(g, x[-80:])]
+    assert evaluate.overlaps(golds, raws) == plain and any(len(x) > 80 for x in raws)
+    monkeypatch.setattr(evaluate, "MEET", 20)  # documents in several blocks
+    nodes = spark.createDataFrame([(f"d{i % 2}", f"n{i}", x) for i, x in enumerate(raws)], "doc_id string, node_id string, raw string")
+    cases = spark.createDataFrame([(f"d{i % 2}", f"c{i}", g) for i, g in enumerate(golds)] + [("d0", "none", None), ("d9", "alone", "x")], "doc_id string, case_id string, gold_span string")
+    got = sorted((r.case_id, r.node_id) for r in evaluate.gold_nodes(cases, nodes).collect())
+    clean = lambda x: " ".join(x.split())
+    assert got == sorted((f"c{i}", f"n{j}") for i, j in evaluate.overlaps([clean(g) for g in golds], [clean(x) for x in raws]) if i % 2 == j % 2)
