@@ -40,24 +40,39 @@ def embed(todo: DataFrame, embedder: Callable[[list[str], str], list[list[float]
     another number of vectors, the rest of its document is left for the next run; the reason stands in the document's rows.
     """
 
-    def run(docs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in docs:
-            for doc, nodes in zip(b["doc_id"], b["nodes"]):
-                step, failure, out = max_batch or len(nodes), None, []
-                for i in range(0, len(nodes), step):
-                    part = nodes[i : i + step]
-                    if failure is None:
-                        try:
-                            made = embedder([n["text"] for n in part], doc)
-                            if len(made) != len(part):
-                                failure = f"{len(made)} vectors for {len(part)} nodes at {i}"
-                        except (MemoryError, RuntimeError, ValueError) as e:
-                            failure = f"{type(e).__name__}: {e} at {i}"
-                    vectors = made if failure is None else [None] * len(part)
-                    out += [(n["node_id"], doc, model_id, None if v is None else len(v), v, failure if v is None else None) for n, v in zip(part, vectors)]
-                yield pd.DataFrame(out, columns=["node_id", "doc_id", "model_id", "dim", "vector", "failure"]).astype({"dim": "Int32", "failure": object})
-
-    whole = todo.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node_id", "text"))).alias("nodes"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, part, at, failure, began = None, [], 0, None, False
+
+        def ended() -> list[tuple]:
+            """The rows of the nodes at hand, asked for as one batch."""
+            nonlocal part, at, failure
+            if part and failure is None:
+                try:
+                    made = embedder([text for _, text in part], doc)
+                    if len(made) != len(part):
+                        failure = f"{len(made)} vectors for {len(part)} nodes at {at}"
+                except (MemoryError, RuntimeError, ValueError) as e:
+                    failure = f"{type(e).__name__}: {e} at {at}"
+            vectors = made if part and failure is None else [None] * len(part)
+            out = [(n, doc, model_id, None if v is None else len(v), v, failure if v is None else None) for (n, _), v in zip(part, vectors)]
+            part, at = [], at + len(part)
+            return out
+
+        told = lambda out: pd.DataFrame(out, columns=["node_id", "doc_id", "model_id", "dim", "vector", "failure"]).astype({"dim": "Int32", "failure": object})
+        for b in batches:
+            out = []
+            for own, node, text in zip(b["doc_id"], b["node_id"], b["text"]):
+                if not began or own != doc:
+                    out += ended()
+                    doc, at, failure, began = own, 0, None, True
+                part.append((node, text))
+                if len(part) == max_batch:
+                    out += ended()
+            yield told(out)
+        yield told(ended())
+
+    # rows of a document follow each other, so a worker holds one batch, not whole documents
+    whole = todo.select("doc_id", "seq", "node_id", "text").repartition("doc_id").sortWithinPartitions("doc_id", "seq", "node_id", "text")
     return whole.mapInPandas(run, "node_id string, doc_id string, model_id string, dim int, vector array<double>, failure string")
 
 

@@ -3,7 +3,7 @@
 import re
 
 from lexweave.functions import pack
-from lexweave.operators import edges, evaluate, graph, parse
+from lexweave.operators import edges, embed, evaluate, extract, graph, parse
 from lexweave.sources import clauses, statute
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +78,25 @@ def test_gold_spans_meet_texts_by_rare_grams(spark, monkeypatch):
     got = sorted((r.case_id, r.node_id) for r in evaluate.gold_nodes(cases, nodes).collect())
     clean = lambda x: " ".join(x.split())
     assert got == sorted((f"c{i}", f"n{j}") for i, j in evaluate.overlaps([clean(g) for g in golds], [clean(x) for x in raws]) if i % 2 == j % 2)
+
+
+def test_embedding_holds_one_batch_at_a_time(spark):
+    rows = [(f"d{i % 3}", f"n{i:03}", i, f"t{i}") for i in range(60)]
+    todo = spark.createDataFrame(rows, "doc_id string, node_id string, seq long, text string")
+
+    def model(texts, doc):
+        if doc == "d1" and "t31" in texts:
+            raise ValueError("full")
+        return [[float(len(texts))] for _ in texts]
+
+    made = embed.embed(todo, model, "m", 8)
+    assert "collect_list" not in _plan(made)
+    got = {r.node_id: (r.doc_id, r.vector and r.vector[0], r.failure) for r in made.collect()}
+    assert got == {n: (d, None, "ValueError: full at 8") if d == "d1" and i // 3 >= 8 else (d, 8.0 if i // 3 < 16 else 4.0, None) for d, n, i, _ in rows}
+
+
+def test_windows_of_the_model_pass_need_no_join(spark):
+    nodes = _nodes(spark, ["Section 1. Rules.", "(1) provided one.", "(2) two two two.", "(3) three.", "Section 2. More.", "(1) four."])
+    made = extract.windows(nodes, 34)
+    assert "Join" not in _plan(made)
+    assert [(r.window, r.part, [m.node_id for m in r.members], r.title) for r in made.orderBy("window", "part").collect()] == [(1, 0, ["a:0", "a:1"], "Section 1. Rules."), (1, 1, ["a:2", "a:3"], "a"), (2, 0, ["a:4", "a:5"], "Section 2. More.")]
