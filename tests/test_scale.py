@@ -100,3 +100,15 @@ def test_windows_of_the_model_pass_need_no_join(spark):
     made = extract.windows(nodes, 34)
     assert "Join" not in _plan(made)
     assert [(r.window, r.part, [m.node_id for m in r.members], r.title) for r in made.orderBy("window", "part").collect()] == [(1, 0, ["a:0", "a:1"], "Section 1. Rules."), (1, 1, ["a:2", "a:3"], "a"), (2, 0, ["a:4", "a:5"], "Section 2. More.")]
+
+
+def test_keys_are_compared_only_where_they_count(spark):
+    nodes = spark.createDataFrame([(x, f"{x} text") for x in "abc"], "node_id string, text string")
+    own = spark.createDataFrame([(f"e{x}", "a", x, "supports", 1.0, "context") for x in "bc"], "edge_id string, src string, dst string, type string, confidence double, class string")
+    included = spark.createDataFrame([("q", "a")], "query_id string, node_id string")
+    relevance = spark.createDataFrame([("q", x, 1.0) for x in "bc"], "query_id string, node_id string, relevance double")
+    ask = lambda window, told: graph.context(included, graph.steps(own, "context"), nodes, own, relevance, graph.BUDGET | {"saturation_window": window}, told=told)
+    cols = ("node_id", "rank", "total", "stopped_because")
+    assert "Join" not in _plan(ask(9, False)) and "Join" in _plan(ask(9, True))
+    for window in (1, 9):
+        assert [[r[c] for c in cols] for r in ask(window, False).collect()] == [[r[c] for c in cols] for r in ask(window, True).collect()] != []
