@@ -64,11 +64,16 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    return retrieval.build(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    index = retrieval.build(docs)
-    index.tf = bundle.saved(index.tf, "tf")
-    return retrieval.scores(retrieval.Index(index.tf, index.idf, index.norm), _questions(spark, sf_dir))
+    return retrieval.scores(_indexed(spark, sf_dir), _questions(spark, sf_dir))
+
+
+def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return retrieval.best(_indexed(spark, sf_dir), _questions(spark, sf_dir), k)
 
 
 @query(f"""WITH t AS (SELECT doc_id, unnest({ORACLE_TOKENS.format("text")}) AS term FROM documents)
@@ -80,7 +85,7 @@ def tokenize_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {D_INDEX} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored WHERE score > 0) WHERE rank <= 8")
 def tfidf_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top(_scored(spark, sf_dir), 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return _best(spark, sf_dir, 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {D_INDEX} SELECT query_id, id, round(least(1.0, score / max(score) OVER (PARTITION BY query_id)), 6) AS relevance FROM scored WHERE score > 0")
@@ -103,7 +108,7 @@ r AS (SELECT query_id, id, 'dense' AS source, row_number() OVER (PARTITION BY qu
   UNION ALL SELECT query_id, id, 'sparse', row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM scored WHERE score > 0)
 SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score, string_agg(source, ',' ORDER BY source) AS sources FROM r WHERE rank <= 24 GROUP BY query_id, id""")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense, sparse = (df.select("query_id", "id", "rank", F.lit(name).alias("source")) for df, name in ((_nearest(spark, sf_dir, 24), "dense"), (retrieval.top(_scored(spark, sf_dir), 24), "sparse")))
+    dense, sparse = (df.select("query_id", "id", "rank", F.lit(name).alias("source")) for df, name in ((_nearest(spark, sf_dir, 24), "dense"), (_best(spark, sf_dir, 24), "sparse")))
     return retrieval.fused(dense, sparse).withColumn("score", F.round("score", 6))
 
 

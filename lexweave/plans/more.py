@@ -159,9 +159,7 @@ r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sco
 SELECT * FROM r WHERE rank <= 8""")
 def rerank_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    index = retrieval.build(texts)
-    index.tf = bundle.saved(index.tf, "tf")
-    seeder = retrieval.rerank_seeder(retrieval.lexical_seeder(index), texts, analytics.overlap(F.col("query"), F.col("text")))
+    seeder = retrieval.rerank_seeder(retrieval.lexical_seeder(retrieval.build(texts)), texts, analytics.overlap(F.col("query"), F.col("text")))
     return seeder(_questions(spark, sf_dir), 8)
 
 
