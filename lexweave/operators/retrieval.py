@@ -17,7 +17,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from lexweave.functions.text import tokens
 from lexweave.sources.bundle import saved
 
-QUERY_BLOCK, VECTOR_BLOCK = 1000, 2000
+QUERY_BLOCK, VECTOR_BLOCK, CANDIDATES = 1000, 2000, 1_000_000
 FREQUENT = 200_000
 """Terms whose idf every task knows, at most."""
 ASKED, CELLS, BLOCK_CELLS = 200_000, 4_000_000, 2_000_000
@@ -256,7 +256,9 @@ def fused(*ranked: DataFrame, k: int = 60) -> DataFrame:
 
 def reranked(candidates: DataFrame, texts: DataFrame, queries: DataFrame, score: Column, k: int) -> DataFrame:
     """candidates (query_id, id) that have a text, by score: an expression over query and text, such as a pandas UDF."""
-    own = candidates.join(texts.select("id", "text"), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    few = saved(candidates.select("query_id", "id"), "candidates")
+    few = F.broadcast(few) if few.limit(CANDIDATES + 1).count() <= CANDIDATES else few  # texts then stay where they are
+    own = few.join(texts.select("id", "text"), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     return top(own.withColumn("score", score), k)
 
 

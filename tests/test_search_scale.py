@@ -39,3 +39,17 @@ def test_norms_know_terms_of_every_frequency(spark, monkeypatch):
 def test_a_search_of_an_empty_corpus_finds_nothing(spark):
     index = retrieval.build(spark.createDataFrame([(1, None)], "id long, text string"))
     assert retrieval.best(index, _questions(spark), 3).collect() == [] == retrieval.scores(index, _questions(spark)).collect()
+
+
+def test_candidates_go_to_their_texts(spark):
+    from pyspark.sql import functions as F
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = spark.createDataFrame([("a", 1), ("a", 2), ("a", 9999)], "query_id string, id long")
+        got = retrieval.reranked(found, _texts(spark), _questions(spark), F.length("text").cast("double"), 5)
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert [(r.query_id, r.id) for r in got.orderBy("rank").collect()] == [("a", 2), ("a", 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
